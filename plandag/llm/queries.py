@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plandag.llm import decontamination, exact_dedup, language, licenses, mixing, quality, secrets, url_filter
+from plandag.llm import decontamination, exact_dedup, language, licenses, mixing, near_duplicates, quality, secrets, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.report(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": op1_language,
         "op3_secrets": op3_secrets,
+        "op4_ngram_join": op4_ngram_join,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_mixing": op6_mixing,
         "op7_licenses": op7_licenses,

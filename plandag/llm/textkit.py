@@ -138,3 +138,39 @@ def per_row(ufunc: np.ufunc, values: np.ndarray, bounds: np.ndarray, empty: obje
     if full.any():
         out[full] = ufunc.reduceat(values, bounds[:-1][full])
     return out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by key; a table ends once it has so many rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        last = pc.index(table[key], table[key][-1]).as_py()  # where the last group begins
+        if last:
+            yield table.slice(0, last)
+        held, size = table.slice(last).combine_chunks().to_batches(), table.num_rows - last
+        rows_left = max(size, 1)
+        if not last and rows_left >= rows:
+            rows = 2 * rows_left  # one large group: look again when there is as much once more
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def binary_rows(values: np.ndarray) -> pa.Array:
+    """A binary value for each row of a contiguous two-dimensional array."""
+    values = np.ascontiguousarray(values)
+    width = values.itemsize * values.shape[1]
+    offsets = np.arange(len(values) + 1, dtype=np.int64) * width
+    return pa.Array.from_buffers(pa.large_binary(), len(values), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
+def rows_of(column: pa.ChunkedArray | pa.Array, dtype: type, width: int) -> np.ndarray:
+    """The array that binary_rows() was given."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
