@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plandag.llm import decontamination, exact_dedup, language, licenses, mixing, near_duplicates, quality, secrets, url_filter
+from plandag.llm import decontamination, exact_dedup, language, licenses, mixing, near_duplicates, quality, secrets, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.learn(docs, language.outside_fold(F.col("doc_id"))))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": op1_language,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_secrets": op3_secrets,
         "op4_ngram_join": op4_ngram_join,
         "op5_exact_dedup": op5_exact_dedup,
