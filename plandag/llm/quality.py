@@ -147,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     texts = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi")
     told = texts.mapInArrow(_described, "doc_id long, statistics binary").join(F.broadcast(known), "doc_id").toPandas()
     told = told.sort_values(["doc_id", "y", "statistics"], ignore_index=True)
-    x = np.frombuffer(b"".join(told["statistics"]), np.float32).reshape(len(told), -1)
+    x = np.frombuffer(b"".join(told["statistics"]), np.float32).reshape(len(told), -1 if len(told) else 1)
     return fit(x, told["y"].to_numpy(np.float64))
 
 

@@ -1,0 +1,122 @@
+import random
+import re
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+from plandag.llm import near_duplicates as op
+from plandag.llm.components import components
+from plandag.llm.queries import op4_ngram_join
+from tests.conftest import TESTDATA
+from tests.llm.conftest import prose
+
+
+def grams(text):
+    w = re.findall("[0-9A-Za-z\u0080-\U0010ffff]+", (text or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def brute(rows, threshold=0.8):
+    sets = [grams(t) for _, t in rows]
+    inverted = {}
+    for k, s in enumerate(sets):
+        for g in s:
+            inverted.setdefault(g, []).append(k)
+    pairs = {p for ks in inverted.values() for p in combinations(ks, 2)}
+    parent, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in pairs:
+        if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9:
+            links[a] += 1
+            links[b] += 1
+            parent[find(a)] = find(b)
+    members = {}
+    for k in range(len(rows)):
+        members.setdefault(find(k), []).append(k)
+    name = {r: min((rows[k][0] for k in ks if rows[k][0] is not None), default=None) for r, ks in members.items()}
+    return sorted(((rows[k][0], name[find(k)], links[k], len(members[find(k)])) for k in range(len(rows))), key=str)
+
+
+def run(df, **options):
+    return sorted((tuple(r)[:4] for r in op.report(df, **options).collect()), key=str)
+
+
+@pytest.mark.parametrize("clashes", [False, True])
+def test_odd_rows(docs_of, odd, clashes):
+    assert run(docs_of(odd, clashes)) == brute(odd)
+
+
+def test_empty(docs_of):
+    assert run(docs_of([])) == [] and op.keep_one(docs_of([])).collect() == []
+
+
+def family(seed, n, words=200, edits=4):
+    r = random.Random(seed)
+    base = prose(seed, words).split()
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.randrange(edits)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.fixture(scope="module")
+def families():
+    texts = [t for s in range(8) for t in family(s, 12)] + [prose(f"alone{k}", 120) for k in range(40)] + [prose("shared", 90) + " " + prose(f"own{k}", 110) for k in range(30)]
+    random.Random(3).shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_same_as_brute_force(docs_of, families):
+    want = brute(families)
+    assert {r[3] for r in want} != {1}
+    assert run(docs_of(families)) == want
+
+
+def test_same_when_everything_is_dealt_into_blocks(docs_of, families):
+    assert run(docs_of(families), bucket_rows=3, cell_rows=4) == brute(families)
+
+
+def test_one_of_each_class_stays(docs_of, families, odd):
+    df = docs_of(families, True)
+    kept = op.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, *_ in brute(families)})
+    ids = [(r.doc_id, r.text) for r in op.keep_one(docs_of(odd)).collect()]
+    assert ids.count((5, "one two")) == 1 and (6, "one  two") not in ids and {(None, None), (1, None), (2, ""), (3, " \t\n "), (4, "!?")} <= set(ids)
+
+
+def test_recall_of_the_forest():
+    k = op.prefix_length(0.8)
+    assert 1 - (1 - 0.8**k) ** op.TREES >= op.TARGET_RECALL > 1 - (1 - 0.8 ** (k + 1)) ** op.TREES
+    assert op.prefix_length(0.9) >= k >= op.prefix_length(0.5)
+
+
+def test_overlaps():
+    r = np.random.default_rng(0)
+    sets = [np.unique(r.integers(0, 400, r.integers(0, 300)).astype(np.uint64)) for _ in range(30)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = op.overlaps(sets)
+    np.fill_diagonal(got, 0)
+    np.fill_diagonal(want := np.array(want), 0)
+    assert (got == want).all()
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 200), (300, 301), (301, 300), (302, 301)]
+    random.Random(1).shuffle(links)
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {**{i: 0 for i in range(1, 41)}, **{k: 100 for k in range(101, 130)}, 301: 300, 302: 300}
+
+
+def test_query_equals_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{TESTDATA}/documents.parquet").collect()]
+    assert sorted((tuple(r)[:4] for r in op4_ngram_join(spark, TESTDATA).collect()), key=str) == brute(docs)
