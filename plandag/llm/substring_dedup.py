@@ -83,8 +83,8 @@ def _find(length: int, anchor: int):
         for batch in batches:
             for block in blocks(batch["text"]):
                 row, first, last, at, gram, whole = occurrences(block, length, anchor)
-                own = batch.take(pa.array(row + block.first))
-                yield pa.record_batch([own["doc_id"], own["text_hash"], pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (first, last, at))], [x.split()[0] for x in FOUND.split(", ")])
+                rows = pa.array(row + block.first)
+                yield pa.record_batch([batch["doc_id"].take(rows), batch["text_hash"].take(rows), pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (first, last, at))], [x.split()[0] for x in FOUND.split(", ")])
 
     return run
 
@@ -239,7 +239,7 @@ def _sort(length: int):
             rows, low, high = np.concatenate([rows, owner[once]]), np.concatenate([low, place[once]]), np.concatenate([high, place[once]])
             none = np.arange(len(rows)) < len(heads)
             pad = np.concatenate([np.zeros((len(heads), 2), np.int64), digest])
-            own = table.take(pa.array(rows))
+            own = table.select(["doc_id", "text_hash"]).take(pa.array(rows))
             yield pa.record_batch([own["doc_id"].combine_chunks(), own["text_hash"].combine_chunks(), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), *(pa.array(pad[:, k], mask=none) for k in (0, 1))], [x.split()[0] for x in SPANS.split(", ")])
 
     return run
@@ -282,7 +282,7 @@ def _over_parts(parted: DataFrame, cut: DataFrame, length: int) -> DataFrame:
                 rows = np.repeat(np.arange(own.num_rows), count)
                 place = np.concatenate([np.arange(c) for c in count])
                 digest = np.frombuffer(b"".join(hashlib.blake2b(raw[r][p : p + length], digest_size=16).digest() for r, p in zip(rows, place, strict=True)), np.int64).reshape(-1, 2)
-                held, at = own.take(pa.array(rows)), pa.array((place + first[rows]).astype(np.int32))
+                held, at = own.select(["doc_id", "text_hash"]).take(pa.array(rows)), pa.array((place + first[rows]).astype(np.int32))
                 yield pa.record_batch([held["doc_id"], held["text_hash"], at, at, pa.array(digest[:, 0]), pa.array(digest[:, 1])], [x.split()[0] for x in SPANS.split(", ")])
 
     every = cut.where("salt >= 0").drop("part").mapInArrow(windows, SPANS)
