@@ -190,7 +190,8 @@ def learn(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE,
         all_of[lang[of_k]] = whole[of_k]
         table[back, lang[of_k]] = count[of_k]
         hashes.append(known)
-        logs.append(np.log((table + 0.5) / (all_of + 0.5 * max(1, len(known)))))
+        # One floor for all languages: else what is unseen speaks for the smallest of them.
+        logs.append(np.log(table / all_of + 0.5 / all_of.max()))
     return Model(languages, hashes, logs)
 
 
