@@ -71,7 +71,7 @@ class Stage:
         if self.kind == "DEPENDENCY_INNER_JOIN" and self.scalar is None:
             raise StageError(f"{self.alias}: no subquery column")
         for p in self.project:
-            if p.how not in ("COLUMNNAME", "TOP", *AGGREGATES):
+            if p.how not in ("COLUMNNAME", *AGGREGATES):
                 raise StageError(f"{self.alias}: no such aggregate: {p.how}")
         if len({p.alias for p in self.project}) < len(self.project):
             raise StageError(f"{self.alias}: an output name occurs twice")

@@ -96,7 +96,7 @@ def test_division_by_zero_is_null_and_dates(spark):
     assert tuple(row) == (None, 3.5, 3, 29, "ab")
 
 
-@pytest.mark.parametrize("stage", [Stage("NO", ("a",), "o"), Stage("INNER_JOIN", ("a",), "o"), Stage("LEFT_OUTER_JOIN", ("a", "b"), "o"), Stage("AGGREGATION", ("a",), "o", project=(Proj("x", "k"), Proj("x", "v"))), Stage("INNER_JOIN", ("a", "b"), "o", on=Pred("a.k", "EQ", "b.k")), Stage("FULL_SCAN", ("a",), "o", limit=-1)])
+@pytest.mark.parametrize("stage", [Stage("NO", ("a",), "o"), Stage("INNER_JOIN", ("a",), "o"), Stage("LEFT_OUTER_JOIN", ("a", "b"), "o"), Stage("AGGREGATION", ("a",), "o", project=(Proj("x", "k"), Proj("x", "v"))), Stage("INNER_JOIN", ("a", "b"), "o", on=Pred("a.k", "EQ", "b.k")), Stage("FULL_SCAN", ("a",), "o", limit=-1), Stage("AGGREGATION", ("a",), "o", project=(Proj("x", "k", "TOP"),))])
 def test_bad_stages(cat, stage):
     with pytest.raises(StageError):
         Pipeline(cat).run([stage])
