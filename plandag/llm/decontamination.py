@@ -19,9 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plandag.llm.shared import fresh, materialize, row_key
 from plandag.llm.textkit import blocks, grams, word_hashes, words
 
 SEED, COVER, BLOCK_CHARS = 4, 0.5, 8_000_000
@@ -123,46 +125,60 @@ def in_blocks(benchmark: DataFrame, cover: float, block_chars: int) -> Iterator[
         yield Items.build(got["item_id"].to_pylist(), got["text"].to_pylist(), cover)
 
 
-PAIRS = "doc_id long, item_id long, coverage double, n_tiles long, longest long, item_words long"
+PAIRS = "doc_id long, text_hash long, item_id long, coverage double, n_tiles long, longest long, item_words long"
 
 
-def report(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """A row for each leak: doc_id, item_id, the coverage, the number of tiles, the words of the longest one and of the item."""
+def _pairs(docs: DataFrame, items: Items, cover: float) -> tuple[DataFrame, Broadcast]:
+    held = docs.sparkSession.sparkContext.broadcast(items)
 
-    def run(items: Items):
-        held = docs.sparkSession.sparkContext.broadcast(items)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = leaks(batch["text"], held.value, cover)
+            rows = pa.array([r for r, *_ in got], pa.int64())
+            tiles = [[t[2] for t in x] for *_, x in got]
+            n = [len(held.value.hashes[i]) for _, i, _ in got]
+            cols = [[held.value.ids[i] for _, i, _ in got], [sum(x) / m for x, m in zip(tiles, n, strict=True)], [len(x) for x in tiles], [max(x) for x in tiles], n]
+            kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.record_batch([batch["doc_id"].take(rows), batch["text_hash"].take(rows), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], [x.split()[0] for x in PAIRS.split(", ")])
 
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                got = leaks(batch["text"], held.value, cover)
-                tiles = [[t[2] for t in x] for *_, x in got]
-                n = [len(held.value.hashes[i]) for _, i, _ in got]
-                cols = [batch["doc_id"].take(pa.array([r for r, *_ in got], pa.int64())), [held.value.ids[i] for _, i, _ in got], [sum(x) / m for x, m in zip(tiles, n, strict=True)], [len(x) for x in tiles], [max(x) for x in tiles], n]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in PAIRS.split(", ")])
+    return docs.select("doc_id", "text", text_hash(docs).alias("text_hash")).mapInArrow(run, PAIRS), held
 
-        return docs.select("doc_id", "text").mapInArrow(pairs, PAIRS)
 
-    out = None
-    for items in in_blocks(benchmark, cover, block_chars):
-        out = run(items) if out is None else out.unionAll(run(items))
-    return out
+def text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents that leak no item, with all their columns."""
+def all_pairs(docs: DataFrame, benchmark: DataFrame, cover: float, block_chars: int) -> DataFrame:
+    """One pass over the documents for each block; only one block is held at a time."""
+    out, held = None, None
+    for items in in_blocks(benchmark, cover, block_chars):
+        if held is not None:
+            out = materialize(out, "leaks")
+            held.destroy()
+        own, held = _pairs(docs, items, cover)
+        out = own if out is None else out.unionAll(own)
+    return out
 
-    def run(df: DataFrame, items: Items) -> DataFrame:
-        held = df.sparkSession.sparkContext.broadcast(items)
 
-        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[r for r, *_ in leaks(batch["text"], held.value, cover)]] = False
-                yield batch.filter(pa.array(keep))
+def report(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """A row for each leak: doc_id, item_id, the coverage, the number of tiles, the words of the longest one and of the item."""
+    return all_pairs(docs, benchmark, cover, block_chars).drop("text_hash")
 
-        return df.mapInArrow(clean, df.schema)
 
-    for items in in_blocks(benchmark, cover, block_chars):
-        docs = run(docs, items)
-    return docs
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents that leak no item, with all their columns. A benchmark of one block takes one pass and no shuffle; of more, the leaks are joined back."""
+    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > block_chars:
+        leaking = all_pairs(docs, benchmark, cover, block_chars).select(row_key(F.col("doc_id"), F.col("text_hash")).alias("key")).distinct()
+        name = fresh("__key", docs)
+        own = docs.withColumn(name, row_key(docs["doc_id"], text_hash(docs)))
+        return own.join(leaking.select(F.col("key").alias(name)).hint("shuffle_hash"), name, "left_anti").select(*docs.columns)
+    held = docs.sparkSession.sparkContext.broadcast(next(in_blocks(benchmark, cover, block_chars)))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[r for r, *_ in leaks(batch["text"], held.value, cover)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, docs.schema)

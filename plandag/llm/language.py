@@ -5,7 +5,7 @@ of the greatest length of which the model knows any, down to single characters;
 A text's score is the posterior of the best language when the mean of its words' scores counts as WORDS words of evidence.
 
 Learned from documents with a language outside the held-out fold, at most about PER_LANGUAGE of each language, chosen by a hash of the id.
-The model holds at most TOP words and TOP n-grams of each length for each language. Texts are lower-cased; words are runs of letters.
+The model holds at most TOP words and TOP n-grams of each length for each language, fewer if that would be over CELLS scores of a length. Texts are lower-cased; words are runs of letters.
 
 Null texts and such without a letter are "und" with score 0, and so is every text if nothing could be learned. Equal scores go to the language that sorts first.
 """
@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from plandag.llm.quality import fold
 from plandag.llm.textkit import BASE, U, mix, prefix_hash, span_hash
 
-PER_LANGUAGE, TOP, LONGEST, WORDS = 4000, 40_000, 5, 8
+PER_LANGUAGE, TOP, CELLS, LONGEST, WORDS = 4000, 40_000, 16_000_000, 5, 8
 #: Code points worked on at once; a longer text is a block of its own.
 CHARS = 1 << 18
 MARK = 1
@@ -168,12 +168,13 @@ class Model:
 
 
 def learn(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE, top: int = TOP) -> Model:
-    """What reaches the driver is bounded by the languages, top and LONGEST."""
+    """What reaches the driver is bounded by CELLS and LONGEST."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn_from)
     share = {r.lang: min(1.0, per_language / r.n) for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(share)
     if not languages:
         return Model([], [], [])
+    top = max(1, min(top, CELLS // len(languages) ** 2))
     of = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(share[lang]))])[F.col("lang")]
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     counts = own.where(chance < of).select("lang", "text").mapInArrow(_counts, "lang string, n int, hash long, count long").groupBy("lang", "n", "hash").agg(F.sum("count").alias("count"))
@@ -191,7 +192,7 @@ def learn(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE,
         table[back, lang[of_k]] = count[of_k]
         hashes.append(known)
         # One floor for all languages: else what is unseen speaks for the smallest of them.
-        logs.append(np.log(table / all_of + 0.5 / all_of.max()))
+        logs.append(np.log(table / all_of + 0.5 / all_of.max()).astype(np.float32))
     return Model(languages, hashes, logs)
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -14,8 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="plandag-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plandag-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -43,3 +45,16 @@ def fresh(name: str, *frames: DataFrame) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def row_key(doc_id: Column, digest: Column) -> Column:
+    """One value for a document's id and content."""
+    return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), digest.cast("string")))
+
+
+def rows_with_keys(docs: DataFrame, key: Column, kept: DataFrame, once: Column) -> DataFrame:
+    """docs whose key is among kept's (a column "key"); where once holds, one row for each key. The rows are dealt out by key and sorted once."""
+    name, number = fresh("__key", docs), fresh("__number", docs)
+    rows = docs.withColumn(name, key).join(kept.select(F.col("key").alias(name)).hint("shuffle_hash"), name, "left_semi")
+    rank = F.row_number().over(Window.partitionBy(name).orderBy(name))
+    return rows.withColumn(number, F.when(once, rank).otherwise(1)).where(F.col(number) == 1).select(*docs.columns)
