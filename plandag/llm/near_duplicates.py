@@ -237,7 +237,8 @@ def report(docs: DataFrame, threshold: float = THRESHOLD, bucket_rows: int = BUC
     sizes = member.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / cell_shingles), F.ceil(F.count(F.lit(1)) / cell_rows)).cast("int").alias("blocks"))
     wanted = member.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).drop("n")
     same = texts["doc_id"].eqNullSafe(wanted["rep_doc"]) & (texts["text_hash"] == wanted["rep_hash"])
-    sets = texts.join(wanted, same).select("group", "blocks", "block", "rep", "copies", "text").mapInArrow(_sets, "group long, blocks int, block int, rep long, copies long, shingles binary")
+    # By hash at every size: the texts are dealt out once and aren't sorted.
+    sets = texts.join(wanted.hint("shuffle_hash"), same).select("group", "blocks", "block", "rep", "copies", "text").mapInArrow(_sets, "group long, blocks int, block int, rep long, copies long, shingles binary")
     cells = pair_cells(sets, "group", "rep").select("cell", "blocks", "block", "rep", "copies", "shingles")
     checked = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify(threshold), "rep long, root long, links long, blocks long")
     checked = materialize(checked, "verified")
