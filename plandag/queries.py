@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plandag.functions.expr import c, cast, date, dbl, dec, i, op, s
 from plandag.functions.predicate import Pred
+from plandag.operators.placement import best_replicas
 from plandag.plans.pipeline import Pipeline
 from plandag.plans.stage import Proj, Stage
 from plandag.sources.catalog import Catalog, overlay
@@ -280,11 +282,34 @@ def wal_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay(orders, "o_orderkey", orders.where("o_orderkey % 10 = 0"), orders.where("o_orderkey % 100 = 0"))
 
 
+def placement_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as files, the suppliers of their nation as nodes; large accounts have one replica."""
+    cat = Catalog(spark, sf_dir)
+    customer, supplier = cat.table("customer"), cat.table("supplier")
+    near = customer.join(supplier, customer["c_nationkey"] == supplier["s_nationkey"])
+    large = F.col("c_acctbal") > 9000
+    one = near.where(large).groupBy(F.col("c_custkey").alias("file")).agg(F.min("s_suppkey").alias("node"))
+    replicas = near.where(~large).select(F.col("c_custkey").alias("file"), F.col("s_suppkey").alias("node")).unionByName(one)
+    return best_replicas(replicas, supplier.select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("score")))
+
+
+PLACEMENT_SQL = """
+WITH near AS (SELECT c_custkey AS file, s_suppkey AS node, c_acctbal FROM customer JOIN supplier ON c_nationkey = s_nationkey),
+replicas AS (SELECT file, node FROM near WHERE c_acctbal <= 9000 UNION SELECT file, min(node) FROM near WHERE c_acctbal > 9000 GROUP BY file),
+counted AS (SELECT file, node, count(*) OVER (PARTITION BY file) AS choices FROM replicas),
+forced AS (SELECT node, count(*) + 1 AS penalty FROM counted WHERE choices = 1 GROUP BY node),
+scored AS (SELECT c.file, c.node, coalesce(s.s_acctbal, 0.0) / CASE WHEN choices > 1 THEN coalesce(f.penalty, 1) ELSE 1 END AS score
+           FROM counted c LEFT JOIN supplier s ON c.node = s.s_suppkey LEFT JOIN forced f ON c.node = f.node)
+SELECT file, node, score FROM scored QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC, node) = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run_plan(name) for name in PLANS} | {"wal_overlay": wal_overlay}
+    return {name: run_plan(name) for name in PLANS} | {"wal_overlay": wal_overlay, "placement_ranking": placement_ranking}
 
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in PLANS.items()} | {
-        "wal_overlay": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 10 <> 0 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 100 = 0"
+        "wal_overlay": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 10 <> 0 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 100 = 0",
+        "placement_ranking": PLACEMENT_SQL,
     }

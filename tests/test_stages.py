@@ -143,3 +143,12 @@ def test_filters_and_columns_reach_the_scan(spark):
 
     plan = queries.queries()["filter_compare"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "IsNotNull(l_quantity)" in plan and "l_extendedprice" not in plan
+
+
+def test_placement(spark):
+    from plandag.operators.placement import best_replicas
+
+    replicas = spark.createDataFrame([("f1", "a"), ("f2", "a"), ("f3", "a"), ("f3", "b"), ("f3", "b"), ("f4", "b"), ("f4", "c"), ("f5", "d"), ("f5", "e")], "file string, node string")
+    metrics = spark.createDataFrame([("a", 9.0), ("b", 4.0), ("c", 4.0)], "node string, score double")
+    got = {r.file: (r.node, r.score) for r in best_replicas(replicas, metrics).collect()}
+    assert got == {"f1": ("a", 9.0), "f2": ("a", 9.0), "f3": ("b", 4.0), "f4": ("b", 4.0), "f5": ("d", 0.0)}
