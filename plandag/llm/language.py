@@ -26,7 +26,7 @@ from plandag.llm.quality import fold
 from plandag.llm.textkit import BASE, U, mix, prefix_hash, span_hash
 
 PER_LANGUAGE, TOP, CELLS, LONGEST, WORDS = 4000, 40_000, 16_000_000, 5, 8
-#: Code points worked on at once; a longer text is a block of its own.
+#: Code points worked on at once; longer texts are cut between words.
 CHARS = 1 << 18
 MARK = 1
 
@@ -84,17 +84,31 @@ def ngrams(found: Words, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return mix(value + U(n)), owner[at]
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    own, size, first = [], 0, 0
+def pieces(text: str, size: int) -> Iterator[str]:
+    """The text, cut before characters that are no letters."""
+    at = 0
+    while len(text) - at > size:
+        end = at + size
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def blocks(texts: pa.Array, size: int = CHARS) -> Iterator[tuple[list[int], list[str]]]:
+    """Pieces of texts with the rows they come from, so many characters at once."""
+    rows, own, held = [], [], 0
     for k, text in enumerate(texts.to_pylist()):
-        text = text or ""
-        if own and size + len(text) > CHARS:
-            yield first, own
-            own, size, first = [], 0, k
-        own.append(text)
-        size += len(text)
+        for piece in pieces(text or "", size):
+            if own and held + len(piece) > size:
+                yield rows, own
+                rows, own, held = [], [], 0
+            rows.append(k)
+            own.append(piece)
+            held += len(piece)
     if own:
-        yield first, own
+        yield rows, own
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,16 +165,22 @@ class Model:
             told[left[times > 0]] = True
         return out, told
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        found = split(texts)
-        has = np.bincount(found.row, minlength=len(texts)) > 0
-        if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        scores, told = self.word_scores(found)
-        use = told[found.word]
-        row, word = found.row[use], found.word[use]
-        n = np.maximum(np.bincount(row, minlength=len(texts)), 1)
-        mean = np.column_stack([np.bincount(row, scores[word, k], len(texts)) for k in range(len(self.languages))]) / n[:, None]
+    def predict(self, texts: pa.Array | list[str], size: int = CHARS) -> tuple[list[str], np.ndarray]:
+        rows = len(texts)
+        if not self.languages or not rows:
+            return ["und"] * rows, np.zeros(rows)
+        has, n, total = np.zeros(rows, bool), np.zeros(rows, np.int64), np.zeros((rows, len(self.languages)))
+        for of, own in blocks(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, size):
+            found, of = split(own), np.array(of)
+            has[of[found.row]] = True
+            scores, told = self.word_scores(found)
+            use = told[found.word]
+            row, word = of[found.row[use]], found.word[use]
+            n += np.bincount(row, minlength=rows)
+            for k in range(len(self.languages)):
+                total[:, k] += np.bincount(row, scores[word, k], rows)
+        n = np.maximum(n, 1)
+        mean = total / n[:, None]
         logit = mean * np.minimum(n, WORDS)[:, None]
         best = logit.argmax(axis=1)
         p = 1 / np.exp(logit - logit.max(axis=1, keepdims=True)).sum(axis=1)
@@ -206,12 +226,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = [], []
-            for _, own in blocks(batch["text"]):
-                lang, score = shared.value.predict(own)
-                langs += lang
-                scores.append(score)
-            yield pa.record_batch([batch["doc_id"], pa.array(langs, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))], ["doc_id", "lang_pred", "score"])
+            langs, scores = shared.value.predict(batch["text"])
+            yield pa.record_batch([batch["doc_id"], pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")

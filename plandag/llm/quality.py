@@ -43,13 +43,22 @@ def _distinct(values: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarra
     return np.bincount(r[new], minlength=rows), most
 
 
+def _class_counts(block: Block, piece: int = 1 << 20) -> np.ndarray:
+    rows, classes = len(block.starts), len(CLASSES) + 1
+    out = np.zeros(rows * classes, np.int64)
+    for low in range(0, len(block.data), piece):
+        high = min(low + piece, len(block.data))
+        inside = np.maximum(np.minimum(block.ends, high) - np.maximum(block.starts, low), 0)
+        out += np.bincount(np.repeat(np.arange(rows) * classes, inside) + CLASS_OF[block.data[low:high]], minlength=len(out))
+    return out.reshape(rows, classes)
+
+
 def statistics(block: Block, found: Words | None = None) -> np.ndarray:
     """A row of statistics for each text."""
     rows = len(block.starts)
     size = (block.ends - block.starts).astype(np.float64)
     one = np.maximum(size, 1)
-    row = np.repeat(np.arange(rows), block.ends - block.starts)
-    shares = np.bincount(row * (len(CLASSES) + 1) + CLASS_OF[block.data], minlength=rows * (len(CLASSES) + 1)).reshape(rows, -1)
+    shares = _class_counts(block)
     found = found or words(block)
     n = np.diff(found.first).astype(np.float64)
     many = np.maximum(n, 1)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plandag.llm.shared import materialize
-from plandag.llm.textkit import Block, U, blocks, mix, powers, prefix_hash, span_hash, whole_groups
+from plandag.llm.textkit import BLOCK, Block, U, blocks, mix, powers, prefix_hash, span_hash, whole_groups
 
 LENGTH, ANCHOR, HOT = 400, 64, 20_000
 LOW = U(0xFFFFFFFF)
@@ -78,11 +78,22 @@ def occurrences(block: Block, length: int, anchor: int) -> tuple[np.ndarray, ...
 FOUND = "doc_id long, text_hash long, anchor long, covered long, first int, last int, at int"
 
 
-def _find(length: int, anchor: int):
+def pieces(block: Block, length: int, size: int) -> Iterator[tuple[Block, int]]:
+    """A long text in pieces, and where each begins: every window lies in one, and its anchor is the same there."""
+    if len(block.starts) > 1 or len(block.data) <= 2 * size:
+        yield block, 0
+        return
+    for low in range(0, len(block.data) - length + 1, size):
+        data = block.data[low : low + size + length - 1]
+        yield Block(block.first, data, np.array([0]), np.array([len(data)])), low
+
+
+def _find(length: int, anchor: int, size: int = BLOCK):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch["text"]):
+            for block, low in (p for b in blocks(batch["text"], size) for p in pieces(b, length, size)):
                 row, first, last, at, gram, whole = occurrences(block, length, anchor)
+                first, last, at = first + low, last + low, at + low
                 rows = pa.array(row + block.first)
                 yield pa.record_batch([batch["doc_id"].take(rows), batch["text_hash"].take(rows), pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (first, last, at))], [x.split()[0] for x in FOUND.split(", ")])
 

@@ -115,8 +115,17 @@ def words(block: Block, table: np.ndarray = WORD) -> Words:
     return Words(start, end, np.repeat(np.arange(len(block.starts)), np.diff(first)), first)
 
 
-def word_hashes(block: Block, found: Words) -> np.ndarray:
-    return mix(span_hash(prefix_hash(block.data), found.start, found.end))
+def word_hashes(block: Block, found: Words, piece: int = 2 * BLOCK) -> np.ndarray:
+    """In pieces of a text, so that a long one needs no prefix sums of its whole length; a word's hash doesn't depend on where it stands."""
+    if len(block.data) <= piece:
+        return mix(span_hash(prefix_hash(block.data), found.start, found.end))
+    out, i = np.empty(len(found.start), U), 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(found.end, found.start[i] + piece, side="right")))
+        zero = found.start[i]
+        out[i:j] = span_hash(prefix_hash(block.data[zero : found.end[j - 1]]), found.start[i:j] - zero, found.end[i:j] - zero)
+        i = j
+    return mix(out)
 
 
 def grams(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

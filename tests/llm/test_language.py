@@ -55,3 +55,12 @@ def test_held_out_accuracy(spark):
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{TESTDATA}/documents.parquet").collect()}
     rows = [r for r in op1_language(spark, TESTDATA).collect() if r.held_out]
     assert sum(r.lang_pred == langs[r.doc_id] for r in rows) / len(rows) > 0.98
+
+
+@pytest.mark.parametrize("size", [1, 7, 40, 10**6])
+def test_pieces_do_not_matter(docs_of, size):
+    model = op.learn(docs_of(TEXTS), F.lit(True))
+    texts = ["der hund the cat " * 9, "", "x", "katzenhausgartenmatte" * 5 + " und", None, "!!! 1"]
+    assert ["".join(op.pieces(t, size)) for t in texts if t] == [t for t in texts if t]
+    want, got = model.predict(texts), model.predict(texts, size)
+    assert want[0] == got[0] and want[1] == pytest.approx(got[1])

@@ -72,3 +72,8 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.predicted == labels[r.doc_id] for r in rows]) > 0.9
     good = [r.predicted for r in rows if labels[r.doc_id] == 1]
     assert np.mean(good) > 0.97
+
+
+def test_counts_do_not_depend_on_pieces():
+    for b in blocks(pa.array(["ab C!", "", "é 9\n|", "x" * 50])):
+        assert all((op._class_counts(b, n) == op._class_counts(b)).all() for n in (1, 3, 7))

@@ -88,3 +88,11 @@ def test_collisions_are_found_out(monkeypatch):
 def test_query_equals_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{TESTDATA.replace('0.01', '0.001')}/documents.parquet").collect()]
     assert sorted(map(tuple, op2_substring_dedup(spark, TESTDATA.replace("0.01", "0.001")).collect()), key=str) == brute(docs, 400)
+
+
+@pytest.mark.parametrize("size", [30, 64, 100])
+def test_long_texts_in_pieces(docs_of, spark, size, monkeypatch):
+    find = op._find
+    monkeypatch.setattr(op, "_find", lambda length, anchor: find(length, anchor, size))
+    rows = texts(21, 8, "abcd", 25) + [(100, "".join(t for _, t in texts(22, 12, "abc", 25))), (101, None)] + [(102, "".join(t for _, t in texts(22, 12, "abc", 25))[7:])]
+    assert run(docs_of(rows), 25, anchor=6) == brute(rows, 25)

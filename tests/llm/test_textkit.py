@@ -50,3 +50,11 @@ def test_rows_round_trip():
     x = np.arange(12, dtype=np.uint64).reshape(4, 3)
     assert (op.rows_of(op.binary_rows(x), np.uint64, 3) == x).all()
     assert op.rows_of(op.binary_rows(x[:0]), np.uint64, 3).shape == (0, 3)
+
+
+@settings(max_examples=60, deadline=None)
+@given(TEXTS, st.integers(1, 30))
+def test_word_hashes_do_not_depend_on_pieces(texts, piece):
+    for b in op.blocks(pa.array(texts, pa.string())):
+        w = op.words(b)
+        assert (op.word_hashes(b, w, piece) == op.word_hashes(b, w)).all()
