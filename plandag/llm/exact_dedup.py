@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plandag.llm.shared import fresh, materialize
+from plandag.llm.shared import materialize, row_key, rows_with_keys
 from plandag.llm.textkit import U, mix
 
 #: Runs of these count as one space.
@@ -147,8 +147,5 @@ def report(docs: DataFrame, in_history: Column | None = None) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, one for each group of equal texts, with all their columns."""
-    digest = fresh("__digest", docs)
-    kept = materialize(report(docs).where("kept").select("doc_id", F.unhex("text_sha256").alias(digest)).distinct(), "kept-ids")
-    own = docs.withColumn(digest, F.unhex(F.sha2(normalized(docs["text"]), 256)))
-    same = own["doc_id"].eqNullSafe(kept["doc_id"]) & (own[digest] == kept[digest])
-    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", digest]).drop(digest)
+    kept = report(docs).where("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
+    return rows_with_keys(docs, row_key(docs["doc_id"], F.sha2(normalized(docs["text"]), 256)), kept, F.lit(True))

@@ -24,10 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plandag.llm.components import components
-from plandag.llm.shared import fresh, materialize
+from plandag.llm.shared import materialize, row_key, rows_with_keys
 from plandag.llm.textkit import U, Block, binary_rows, blocks, grams, mix, per_row, prefix_hash, rows_of, span_hash, whole_groups, word_hashes, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -266,13 +265,8 @@ def pair_cells(df: DataFrame, group: str, member: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options: object) -> DataFrame:
     """A document of each class, the one with the smallest doc_id, with all its columns."""
-    text_hash = fresh("__hash", docs)
-    kept = materialize(report(docs, **options).where("keeper").select("doc_id", "text_hash").distinct(), "near-kept")
-    own = docs.withColumn(text_hash, F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = own["doc_id"].eqNullSafe(kept["doc_id"]) & (own[text_hash] == kept["text_hash"])
-    rows = own.join(kept, same, "left_semi")
+    kept = report(docs, **options).where("keeper").select(row_key(F.col("doc_id"), F.col("text_hash")).alias("key"))
+    text = F.coalesce(docs["text"], F.lit(""))
     # Rows of equal doc_id and text are one document; such without words link to nothing, so all of them stay.
-    with_words = F.regexp_like(F.coalesce("text", F.lit("")), F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))
-    numbered = F.row_number().over(Window.partitionBy("doc_id", text_hash).orderBy(text_hash))
-    number = fresh("__number", own)
-    return rows.withColumn(number, F.when(with_words, numbered).otherwise(1)).where(F.col(number) == 1).drop(text_hash, number)
+    with_words = F.regexp_like(text, F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))
+    return rows_with_keys(docs, row_key(docs["doc_id"], F.xxhash64(text)), kept, with_words)
