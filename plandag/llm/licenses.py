@@ -45,7 +45,7 @@ NOTICES = [
     ("unlicense", "This is free and unencumbered software released into the public domain", ["unencumbered software"]),
 ]
 #: Words of notices that are no licence words.
-FUNCTION_WORDS = frozenset("a an and any are at except file for form forms free in into is it may not of on or person possible purpose that the this to under use with without you".split())
+FUNCTION_WORDS = frozenset("a an and any are at by except file for form forms free in into is it may not of on or person possible purpose that the this to under use with without you".split())
 #: Rarest words of a notice that the index holds, rarest words of a file that are looked up, and the least share covered.
 INDEXED, LOOKED_UP, COVER = 6, 24, 0.7
 
