@@ -19,12 +19,14 @@ def components(links: DataFrame) -> DataFrame:
             return edges
         seen = now
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Written first, so that the join is one of two plain exchanges, whose skewed partitions (hubs) Spark splits.
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Each node's smaller neighbours, and the node, go to the smallest of them.
         large = materialize(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        drop_table(least)
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
         before, edges = edges, materialize(small, "edges")
-        drop_table(before)
-        drop_table(large)
+        for done in (before, large, least):
+            drop_table(done)

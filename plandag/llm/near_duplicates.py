@@ -223,7 +223,7 @@ def report(docs: DataFrame, threshold: float = THRESHOLD, bucket_rows: int = BUC
     reps = materialize(reps.join(signed.select(F.col("row").alias("rep"), F.col("doc_id").alias("rep_doc"), F.col("text_hash").alias("rep_hash"), "n", "keys", "sketch"), "rep"), "representatives")
 
     keys = reps.select("rep", "keys").mapInArrow(_keys, "bucket long, rep long")
-    shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = materialize(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
     met = keys.join(shared, "bucket").join(reps.select("rep", "sketch"), "rep")
     parts = F.ceil(F.col("members") / bucket_rows).cast("int")
     met = pair_cells(met.withColumn("blocks", parts), "bucket", "rep").select("cell", "rep", "sketch")
