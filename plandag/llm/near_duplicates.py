@@ -189,7 +189,7 @@ def _verify(threshold: float):
                 both = overlaps(sets)
                 linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-3
                 np.fill_diagonal(linked, False)
-                if block.min() != block.max():
+                if own["cross"][0].as_py():
                     linked &= block[:, None] != block[None, :]  # pairs within a block are another cell's
                 links = linked @ copies
                 root = np.arange(len(rep))
@@ -238,7 +238,7 @@ def report(docs: DataFrame, threshold: float = THRESHOLD, bucket_rows: int = BUC
     same = texts["doc_id"].eqNullSafe(wanted["rep_doc"]) & (texts["text_hash"] == wanted["rep_hash"])
     # By hash at every size: the texts are dealt out once and aren't sorted.
     sets = texts.join(wanted.hint("shuffle_hash"), same).select("group", "blocks", "block", "rep", "copies", "text").mapInArrow(_sets, "group long, blocks int, block int, rep long, copies long, shingles binary")
-    cells = pair_cells(sets, "group", "rep").select("cell", "blocks", "block", "rep", "copies", "shingles")
+    cells = pair_cells(sets, "group", "rep").select("cell", "cross", "blocks", "block", "rep", "copies", "shingles")
     checked = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify(threshold), "rep long, root long, links long, blocks long")
     checked = materialize(checked, "verified")
     counts = checked.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("blocks").alias("blocks"))
@@ -257,10 +257,10 @@ def report(docs: DataFrame, threshold: float = THRESHOLD, bucket_rows: int = BUC
 
 
 def pair_cells(df: DataFrame, group: str, member: str) -> DataFrame:
-    """With cell: a number for each pair of a group's blocks. A member goes to all pairs of its block; with one block there is one."""
+    """With cell, a number for each pair of a group's blocks, and cross, whether they are two. A member goes to all pairs of its block; with one block there is one."""
     block = F.pmod(F.xxhash64(member), "blocks")
     other = df.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.withColumn("cell", F.xxhash64(group, F.least(block, "__other"), F.greatest(block, "__other"))).drop("__other")
+    return other.withColumns({"cell": F.xxhash64(group, F.least(block, "__other"), F.greatest(block, "__other")), "cross": block != F.col("__other")}).drop("__other")
 
 
 def keep_one(docs: DataFrame, **options: object) -> DataFrame:
