@@ -103,22 +103,25 @@ def _find(length: int, anchor: int, size: int = BLOCK):
 CUT = "doc_id long, text_hash long, anchor long, first int, last int, at int, n long, salt int, bytes binary"
 
 
-def _cut(length: int):
-    """The covered bytes of a document's occurrences."""
+def _cut(length: int, held: int = 1 << 22):
+    """The covered bytes of a document's occurrences, in batches of about so many bytes."""
+    names, kinds = zip(*(x.split() for x in CUT.split(", ")), strict=True)
+    arrow = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
         for batch in batches:
-            out: dict[str, list] = {x.split()[0]: [] for x in CUT.split(", ")}
             for doc_id, text_hash, text, own in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_hash", "text", "own")), strict=True):
                 data = text.encode()
                 for x in own:
-                    for k in ("anchor", "first", "last", "at", "n", "salt"):
-                        out[k].append(x[k])
-                    out["doc_id"].append(doc_id)
-                    out["text_hash"].append(text_hash)
-                    out["bytes"].append(data[x["first"] : x["last"] + length])
-            kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-            yield pa.record_batch([pa.array(out[x.split()[0]], kinds[x.split()[1]]) for x in CUT.split(", ")], list(out))
+                    rows.append((doc_id, text_hash, x["anchor"], x["first"], x["last"], x["at"], x["n"], x["salt"], data[x["first"] : x["last"] + length]))
+                    size += len(rows[-1][-1])
+                    if size >= held:
+                        yield pa.record_batch([pa.array(c, arrow[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
+                        rows, size = [], 0
+        if rows:
+            yield pa.record_batch([pa.array(c, arrow[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
 
     return run
 
@@ -264,7 +267,8 @@ def spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int
     alike = materialize(found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one")), "covered-bytes")
     copies = found.join(alike.where("n > 1").select(*key), key).select("doc_id", "text_hash", "first", "last")
 
-    several = alike.groupBy("anchor").agg(F.count(F.lit(1)).alias("distinct")).where("distinct > 1")
+    # Written first: the join is then one of two plain exchanges, whose skewed partitions Spark splits.
+    several = materialize(alike.groupBy("anchor").agg(F.count(F.lit(1)).alias("distinct")).where("distinct > 1"), "open-anchors")
     parts = F.ceil(F.col("distinct") / hot)
     open_ones = alike.join(several, "anchor").withColumn("salt", F.when(parts > 1, F.pmod(F.xxhash64("covered"), parts)).otherwise(F.lit(-1)).cast("int"))
     own = open_ones.groupBy(F.col("one.doc_id").alias("wanted"), F.col("one.text_hash").alias("wanted_hash")).agg(F.collect_list(F.struct("anchor", F.col("one.first").alias("first"), F.col("one.last").alias("last"), F.col("one.at").alias("at"), "n", "salt")).alias("own"))
