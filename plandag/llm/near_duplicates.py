@@ -31,8 +31,9 @@ from plandag.llm.textkit import U, Block, binary_rows, blocks, grams, mix, per_r
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET_RECALL = 24, 7, 0.9999
-#: Sketches that agree in COVERS are nearly equal; LINKS is what a partner of one has with the other, less sampling error.
-COVERS, LINKS = 0.85, 0.36
+#: Sketches that agree in COVERS are nearly equal (similarity of 0.85 or more at three deviations of 120 values). A partner of one of
+#: them then has a similarity of 0.65 or more with the other, and a sketch that agrees in LINKS at three deviations.
+COVERS, LINKS = 0.93, 0.5
 #: Members of a bucket in one task, and documents and shingles of a candidate group in one block.
 BUCKET_ROWS, CELL_ROWS, CELL_SHINGLES = 100_000, 2000, 2_000_000
 
