@@ -1,7 +1,7 @@
 """Licence scan by a positional rare-token index, in DataFrame operations only.
 
-Fixed phrases give the base labels wherever their words stand consecutively. Beside them the method finds whole notices: a file's
-licence words of the highest IDF (over all documents) are looked up in the postings of the notices' rarest words; hits that
+Fixed phrases give the base labels wherever their words stand consecutively. Beside them the method finds whole notices: each of a file's
+licence words is looked up in the postings of the notices' words of the highest IDF (over all documents); hits that
 agree on the notice's position in the file are one placement, whose score is the IDF it covers of what the index has of that
 notice; a placement counts if it covers COVER or more and the notice's key phrases stand in the file.
 
@@ -17,7 +17,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plandag.llm.shared import materialize
 
@@ -46,8 +45,8 @@ NOTICES = [
 ]
 #: Words of notices that are no licence words.
 FUNCTION_WORDS = frozenset("a an and any are at by except file for form forms free in into is it may not of on or person possible purpose that the this to under use with without you".split())
-#: Rarest words of a notice that the index holds, rarest words of a file that are looked up, and the least share covered.
-INDEXED, LOOKED_UP, COVER = 6, 24, 0.7
+#: Rarest words of a notice that the index holds, and the least share covered.
+INDEXED, COVER = 6, 0.7
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -109,10 +108,8 @@ def notices_found(read: DataFrame) -> DataFrame:
         wholes.append((k, label, sum(map(weigh, held)), phrases))
     index = F.broadcast(rows(spark, "word, idf, notice, place", postings))
     whole = F.broadcast(rows(spark, "notice, label, whole", [x[:3] for x in wholes]).join(rows(spark, "notice, phrase", [(k, p) for k, *_, ps in wholes for p in ps]).groupBy("notice").agg(F.collect_list("phrase").alias("phrases")), "notice"))
-    weights = F.broadcast(rows(spark, "word, idf", sorted({(w, i) for w, i, *_ in postings})))
-    rarest = Window.partitionBy("row").orderBy(F.desc("idf"), "word")
-    looked_up = hits.select("row", "word").distinct().join(weights, "word").withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= LOOKED_UP).select("row", "word")
-    met = hits.join(looked_up, ["row", "word"]).join(index, "word")
+    # The index has at most INDEXED words of each notice, so all of a file's words are looked up.
+    met = hits.join(index, "word")
     placed = met.groupBy("row", "notice", (F.col("at") - F.col("place")).alias("start")).agg(F.sum("idf").alias("covered"))
     best = placed.groupBy("row", "notice").agg(F.max("covered").alias("covered")).join(whole, "notice")
     best = best.where(F.col("covered") >= COVER * F.col("whole")).join(read.select("row", "keys"), "row").where(F.size(F.array_except("phrases", "keys")) == 0)

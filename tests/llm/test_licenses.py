@@ -41,6 +41,13 @@ def test_notices(docs_of):
     assert all(got[100 + k].labels == "" and got[100 + k].score == 0 for k in range(40))
 
 
+def test_a_file_of_all_notices_has_all_labels(docs_of):
+    texts = [text for _, text, _ in op.NOTICES]
+    rows = [(1, f" {prose(1, 9)} ".join(texts)), (2, " ".join(reversed(texts))), *((3 + k, f"{prose(k, 20)} {text}") for k, text in enumerate(texts * 2))]
+    got = {r.doc_id: set(r.labels.split(",")) for r in op.scan(docs_of(rows)).collect()}
+    assert {label for label, *_ in op.NOTICES} <= got[1] & got[2]
+
+
 def test_scattered_words_and_missing_key_phrases_are_no_notice(docs_of):
     scattered = f"apache {prose(1, 30)} licensed {prose(2, 30)} license {prose(3, 9)} version 0 2"
     rows = [(1, scattered), (2, "licensed under the apache permission license version 2 0"), *((k, prose(k, 50)) for k in range(3, 30))]
