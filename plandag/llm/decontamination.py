@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words of documents and benchmark items are compared lower-cased. Seeds, SEED words in a row, that a document shares with an item make the
-pair a candidate if they could cover enough of the item. For a candidate, Karp-Rabin runs find the longest stretches of
+pair a candidate if they could cover enough of the item, each seed counted as often as it stands in the item. For a candidate, Karp-Rabin runs find the longest stretches of
 unmarked words that both have; the longest are marked, without overlap, and the search is repeated until none of SEED words is left.
 The share of the item's words that is marked is the coverage: reordered passages reach it as well as unbroken ones.
 
@@ -27,17 +27,20 @@ from plandag.llm.shared import fresh, materialize, row_key
 from plandag.llm.textkit import blocks, grams, word_hashes, words
 
 SEED, COVER, BLOCK_CHARS = 4, 0.5, 8_000_000
+#: Pairs of places that are held at once in the search for common stretches.
+PLACES = 1 << 20
 
 
 @dataclass
 class Items:
-    """ids, and the word hashes of each; sorted seeds, with the items that have each (postings from bounds[k] to bounds[k + 1])."""
+    """ids, and the word hashes of each; sorted seeds, with the items that have each (postings from bounds[k] to bounds[k + 1]), and how often."""
 
     ids: list[int | None]
     hashes: list[np.ndarray]
     seeds: np.ndarray
     bounds: np.ndarray
     postings: np.ndarray
+    times: np.ndarray
     least: np.ndarray
 
     @classmethod
@@ -46,35 +49,44 @@ class Items:
         for block in blocks(pa.array(texts, pa.string()), lower=True):
             found = words(block)
             own += np.split(word_hashes(block, found), found.first[1:-1])
-        pairs = [np.unique(grams(h, np.zeros(len(h), np.int64), SEED)[0]) for h in own]
-        seeds = np.concatenate([np.zeros(0, np.uint64), *pairs])
-        item = np.repeat(np.arange(len(own)), [len(p) for p in pairs])
+        pairs = [np.unique(grams(h, np.zeros(len(h), np.int64), SEED)[0], return_counts=True) for h in own]
+        seeds = np.concatenate([np.zeros(0, np.uint64), *(p for p, _ in pairs)])
+        times = np.concatenate([np.zeros(0, np.int64), *(n for _, n in pairs)])
+        item = np.repeat(np.arange(len(own)), [len(p) for p, _ in pairs])
         order = np.argsort(seeds, kind="stable")
         seeds, first = np.unique(seeds[order], return_index=True)
-        # Tiles of SEED words cover most for their number of seeds.
+        # Tiles of SEED words cover most for their number of seed places; a seed that repeats in the item has several.
         least = np.array([max(1, -(-int(np.ceil(cover * len(h) - 1e-9)) // SEED)) for h in own], np.int64)
-        return cls(ids, own, seeds, np.append(first, len(item)), item[order], least)
+        return cls(ids, own, seeds, np.append(first, len(item)), item[order], times[order], least)
 
 
 def matches(doc: np.ndarray, item: np.ndarray, doc_free: np.ndarray, item_free: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal common stretches of n or more free words: starts in the document and in the item, and lengths."""
-    stretch = lambda free: np.flatnonzero(np.convolve(free, np.ones(n, np.int64), "valid") == n) if len(free) >= n else np.zeros(0, np.int64)
-    zeros = lambda x: np.zeros(len(x), np.int64)
-    a, b = stretch(doc_free), stretch(item_free)
-    ha, hb = grams(doc, zeros(doc), n)[0][a], grams(item, zeros(item), n)[0][b]
-    order = np.argsort(hb, kind="stable")
-    low, high = np.searchsorted(hb[order], ha, "left"), np.searchsorted(hb[order], ha, "right")
-    times = high - low
-    i = np.repeat(a, times)
-    j = b[order][np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-    if not len(i):
-        return i, j, i
+    """Maximal common stretches of n or more free words: starts in the document and in the item, and lengths. What lies between their ends isn't held."""
+
+    def stretches(own: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all n words in a row, and whether they are free; before the first and after the last stands one that isn't."""
+        ok = np.convolve(free, np.ones(n, np.int64), "valid") == n if len(free) >= n else np.zeros(0, bool)
+        return np.pad(grams(own, np.zeros(len(own), np.int64), n)[0], 1), np.pad(ok, 1)
+
+    (ha, fa), (hb, fb) = stretches(doc, doc_free), stretches(item, item_free)
+    a, b = np.flatnonzero(fa), np.flatnonzero(fb)
+    b = b[np.argsort(hb[b], kind="stable")]
+    low, times = np.searchsorted(hb[b], ha[a], "left"), np.searchsorted(hb[b], ha[a], "right")
+    times -= low
+    a, low, times = a[times > 0], low[times > 0], times[times > 0]
+    ends: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+    for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(np.cumsum(times) // PLACES)) + 1):
+        t = times[part]
+        i = np.repeat(a[part], t)
+        j = b[np.repeat(low[part], t) + np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)]
+        for k, step in enumerate((-1, 1)):
+            end = ~(fa[i + step] & fb[j + step] & (ha[i + step] == hb[j + step]))
+            ends[2 * k].append(i[end])
+            ends[2 * k + 1].append(j[end])
+    i, j, last, last_j = map(np.concatenate, ends)
     order = np.lexsort((i, i - j))
-    i, j = i[order], j[order]
-    head = np.ones(len(i), bool)
-    head[1:] = (np.diff(i) != 1) | (np.diff(i - j) != 0)
-    at = np.flatnonzero(head)
-    return i[at], j[at], np.diff(np.append(at, len(i))) + n - 1
+    last = last[np.lexsort((last, last - last_j))]
+    return i[order] - 1, j[order] - 1, last - i[order] + n
 
 
 def tile(doc: np.ndarray, item: np.ndarray, n: int = SEED) -> list[tuple[int, int, int]]:
@@ -85,10 +97,13 @@ def tile(doc: np.ndarray, item: np.ndarray, n: int = SEED) -> list[tuple[int, in
         if not len(i):
             return out
         best = length.max()
-        for a, b in zip(i[length == best], j[length == best], strict=True):
-            if doc_free[a : a + best].all() and item_free[b : b + best].all():
-                doc_free[a : a + best] = item_free[b : b + best] = 0
-                out.append((int(a), int(b), int(best)))
+        i, j = i[length == best], j[length == best]
+        while len(i):
+            a, b = i[0], j[0]
+            doc_free[a : a + best] = item_free[b : b + best] = 0
+            out.append((int(a), int(b), int(best)))
+            free = (np.abs(i - a) >= best) & (np.abs(j - b) >= best)
+            i, j = i[free], j[free]
 
 
 def leaks(texts: pa.Array, items: Items, cover: float = COVER) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
@@ -105,8 +120,9 @@ def leaks(texts: pa.Array, items: Items, cover: float = COVER) -> list[tuple[int
         met = np.unique(found.row[at[hit]] * np.int64(len(items.seeds)) + k[hit])  # seeds of each row, once
         row, k = np.divmod(met, len(items.seeds))
         times = items.bounds[k + 1] - items.bounds[k]
-        item = items.postings[np.repeat(items.bounds[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-        pair, seeds = np.unique(np.repeat(row, times) * np.int64(len(items.ids)) + item, return_counts=True)
+        posting = np.repeat(items.bounds[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        pair, which = np.unique(np.repeat(row, times) * np.int64(len(items.ids)) + items.postings[posting], return_inverse=True)
+        seeds = np.bincount(which, items.times[posting], len(pair))
         for p in pair[seeds >= items.least[pair % len(items.ids)]]:
             r, i = divmod(int(p), len(items.ids))
             tiles = tile(hashes[found.first[r] : found.first[r + 1]], items.hashes[i])

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plandag.llm import decontamination as op
@@ -52,6 +53,31 @@ def test_tiles_cover_what_plain_tiling_covers(seed):
     assert len({x for a, _, k in tiles for x in range(a, a + k)}) == len({x for _, b, k in tiles for x in range(b, b + k)}) == sum(t[2] for t in tiles)
 
 
+REPETITIVE = [" ".join((prose(f"line{n}", n).split() * 100)[:size]) for n, size in ((12, 100), (8, 80), (4, 40), (1, 40), (5, 4000))]
+
+
+@pytest.mark.parametrize("block_chars", [op.BLOCK_CHARS, 300])
+def test_copies_of_repetitive_items(docs_of, spark, block_chars):
+    items = spark.createDataFrame(list(enumerate(REPETITIVE)), "item_id long, text string")
+    docs = docs_of([*((k, f"{prose(k, 30)} {text} {prose(-k, 30)}") for k, text in enumerate(REPETITIVE)), (9, prose(9, 300)), (10, " ".join(REPETITIVE[0].split()[:45]))])
+    assert {(r.doc_id, r.item_id, r.coverage) for r in op.report(docs, items, block_chars=block_chars).collect()} == {(k, k, 1.0) for k in range(len(REPETITIVE))}
+    assert sorted(r.doc_id for r in op.drop_contaminated(docs, items, block_chars=block_chars).collect()) == [9, 10]
+
+
+@pytest.mark.parametrize("places", [1 << 20, 7])
+def test_the_screen_loses_no_pair(monkeypatch, places):
+    monkeypatch.setattr(op, "PLACES", places, raising=False)
+    r = random.Random(1)
+    text = lambda words, n: " ".join(f"w{r.randrange(words)}" for _ in range(n))
+    texts = [text(r.choice((1, 2, 3, 9)), r.randrange(4, 60)) for _ in range(40)]
+    docs = [*texts, *(" ".join([texts[k], text(3, 20), texts[-k]]) for k in range(40))]
+    items = op.Items.build(list(range(40)), texts, op.COVER)
+    got = {(d, i): sum(t[2] for t in tiles) for d, i, tiles in op.leaks(pa.array(docs), items)}
+    hashes = op.Items.build(list(range(80)), docs, op.COVER).hashes
+    covered = {(d, i): sum(t[2] for t in op.tile(hashes[d], h)) for d in range(80) for i, h in enumerate(items.hashes)}
+    assert got == {(d, i): n for (d, i), n in covered.items() if n >= op.COVER * len(items.hashes[i])}
+
+
 @pytest.fixture(scope="module")
 def bench(spark):
     items = [(k, prose(f"item{k}", 40)) for k in range(12)]
