@@ -1,7 +1,9 @@
 """Secret scan: fixed patterns, and strings that stay incompressible beside what surrounds them.
 
 Base spans: the leftmost non-overlapping matches of each kind's pattern, without those that are too short.
-Novelty: candidates are runs of LEAST or more key characters with a digit and a letter, within NEAR characters after a sensitive word.
+Novelty: candidates are runs of LEAST or more key characters with a letter, and with a digit or letters of both cases, within NEAR characters
+after a sensitive word or after a reported span that carries on from one (the lines of a key, the parts of a token); a candidate below NOVEL
+doesn't carry on. Long identifiers of words in both cases can reach NOVEL.
 zstandard, primed with a dictionary of code and identifiers and with the text around the candidate, compresses that text with
 it and with a run of one character in its place; the bytes it adds, against those that random text of its alphabet would need, are its novelty. Spans of at least NOVEL
 that touch no base span are reported as the kind "novel".
@@ -69,17 +71,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS[x[2]]))
 
 
+def keylike(candidate: str) -> bool:
+    lower, upper, digit = (re.search(x, candidate) for x in ("[a-z]", "[A-Z]", "[0-9]"))
+    return bool((lower and upper) or (digit and (lower or upper)))
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out, at = [], -1
     for word in CONTEXT.finditer(text):
+        near = word.end() + NEAR
         for m in CANDIDATE.finditer(text, max(at, word.end())):
-            if m.start() > word.end() + NEAR:
+            if m.start() > near:
                 break
             at = m.end()
-            if not re.search("[0-9]", m[0]) or not re.search("[A-Za-z]", m[0]) or any(s < m.end() and m.start() < e for s, e, _ in base):
+            if any(s < m.end() and m.start() < e for s, e, _ in base):
+                near = m.end() + NEAR
+            elif not keylike(m[0]):
                 continue
-            if novelty(m[0], text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]) >= NOVEL:
+            elif novelty(m[0], text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]) >= NOVEL:
                 out.append((*m.span(), "novel"))
+                near = m.end() + NEAR
     return out
 
 
@@ -101,7 +112,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         texts = pc.fill_null(batch["text"], "")
         base = pc.match_substring_regex(texts, SCREEN)
-        novel = pc.and_(pc.match_substring_regex(texts, "[0-9]"), pc.match_substring_regex(texts, CONTEXT_SCREEN))
+        novel = pc.and_(pc.match_substring_regex(texts, CANDIDATE.pattern), pc.match_substring_regex(texts, CONTEXT_SCREEN))
         counts = {k: [0] * n for k in ("assign", "access", "hex")}
         digest, every = [EMPTY] * n, [""] * n
         for k in pc.indices_nonzero(pc.or_(base, novel)).to_pylist():

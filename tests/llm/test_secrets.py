@@ -1,5 +1,8 @@
+import base64
 import hashlib
+import random
 import re
+import string
 
 import pytest
 
@@ -46,6 +49,17 @@ def test_novel_spans_need_a_sensitive_word(docs_of):
     assert {r.doc_id: r.spans for r in op.scan(docs_of(rows)).collect()} == {1: "novel:12:40", 2: "", 3: "", 4: ""}
 
 
+def test_lines_and_parts_of_a_key_and_keys_without_digits(docs_of):
+    r = random.Random(0)
+    lines = [base64.b64encode(r.randbytes(48)).decode() for _ in range(12)]
+    parts = [base64.urlsafe_b64encode(r.randbytes(n)).decode().rstrip("=") for n in (27, 90, 32)]
+    letters = "".join(r.choice(string.ascii_letters) for _ in range(32))
+    texts = ["-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines), "Authorization: Bearer " + ".".join(parts), f"credential {letters} end"]
+    got = {r.doc_id: r.spans for r in op.scan(docs_of(list(enumerate(texts)))).collect()}
+    for k, keys in enumerate((lines, parts, [letters])):
+        assert got[k].split(",") == [f"novel:{texts[k].index(x)}:{texts[k].index(x) + len(x)}" for x in keys]
+
+
 @pytest.mark.parametrize("clashes", [False, True])
 def test_odd_rows(docs_of, odd, clashes):
     assert op.scan(docs_of(odd, clashes)).count() == len(odd)
