@@ -1,8 +1,9 @@
 """N-gram Jaccard join: all documents whose sets of word 5-grams have a Jaccard similarity of THRESHOLD or more.
 
 1. Texts of equal word sequences fall into one representative; copies are only counted from here on.
-2. MinHash LSH forest: each representative's signature is split over TREES tries. The tries hold prefixes of DEPTH values; the prefix
-   that has to match is shortened from there until a pair at the threshold meets in some trie with TARGET_RECALL or more.
+2. MinHash banding: each representative's signature is split into TREES bands of equal size, each hashed to one bucket. The size is fixed from
+   the threshold before any text is read: the most values, of DEPTH, at which a pair at the threshold meets in some band with TARGET_RECALL
+   or more. It is what an LSH forest would shorten its prefixes to for that recall; no tries are built.
 3. In a bucket, representatives whose sketches (one byte for each value of the signature) agree at all well are joined to a
    candidate group. A pivot stands for what is nearly equal to it: by the triangle inequality, a partner of what it stands for is
    close enough to it to be joined, so no pair of a bucket is lost. Most buckets need one pivot.
