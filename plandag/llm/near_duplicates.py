@@ -19,6 +19,7 @@ doc_id are documents of their own. Columns besides doc_id and text are left asid
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,21 +33,30 @@ from plandag.llm.textkit import U, Block, binary_rows, blocks, grams, mix, per_r
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET_RECALL = 24, 7, 0.9999
-#: Sketches that agree in COVERS are nearly equal (similarity of 0.85 or more at three deviations of 120 values). A partner of one of
-#: them then has a similarity of 0.65 or more with the other, and a sketch that agrees in LINKS at three deviations.
-COVERS, LINKS = 0.93, 0.5
+#: Sketches that agree in COVERS are nearly equal; DEVIATIONS is how far a sketch may be off the similarity it stands for.
+COVERS, DEVIATIONS = 0.93, 3.0
 #: Members of a bucket in one task, and documents and shingles of a candidate group in one block.
 BUCKET_ROWS, CELL_ROWS, CELL_SHINGLES = 100_000, 2000, 2_000_000
 
 
 def prefix_length(threshold: float, recall: float = TARGET_RECALL) -> int:
     """The longest prefix at which a pair at the threshold meets in one of the tries with the wanted probability."""
+    if not 1 - (1 - threshold) ** TREES >= recall:
+        raise ValueError(f"{TREES} bands can't reach a recall of {recall} at a threshold of {threshold}")
     depth = DEPTH
     while depth > 1 and 1 - (1 - threshold**depth) ** TREES < recall:
         depth -= 1
     return depth
 
 
+def least_agreement(threshold: float, width: int) -> float:
+    """The share of its values in which a sketch agrees, at DEVIATIONS, with that of a partner of what stands for it."""
+    z = DEVIATIONS**2 / width
+    equal = (COVERS + z / 2 - math.sqrt(z * COVERS * (1 - COVERS) + z * z / 4)) / (1 + z)  # the least similarity that COVERS can mean
+    partner = max(0.0, threshold - (1 - equal))
+    return max(0.0, partner - math.sqrt(z * partner * (1 - partner)))
+
+
 def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and addends of n hash functions on 32 bits."""
     a, b = mix(np.arange(1, n + 1, dtype=U)), mix(np.arange(n + 1, 2 * n + 1, dtype=U))
@@ -111,30 +121,30 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(batch["rep"].to_numpy(), TREES))], ["bucket", "rep"])
 
 
-def join_sketches(rep: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+def join_sketches(rep: np.ndarray, sketch: np.ndarray, least: float) -> np.ndarray:
     """For the members of a bucket, the member that stands for each one's candidate group."""
     label, left = np.arange(len(rep)), np.ones(len(rep), bool)
     while left.any() and (label != label[0]).any():
         pivot = int(left.argmax())
         alike = (sketch == sketch[pivot]).mean(axis=1)
-        near = alike >= LINKS
+        near = alike >= least
         label[np.isin(label, label[near])] = label[near].min()
         left &= alike < COVERS
         left[pivot] = False
     return label
 
 
-def _link(width: int):
+def _link(width: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell"):
             cell, rep, sketch = table["cell"].to_numpy(), table["rep"].to_numpy(), rows_of(table["sketch"], np.uint8, width)
             first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
             size = np.diff(np.append(first, len(cell)))
             two = first[size == 2]
-            two = two[(sketch[two] == sketch[two + 1]).mean(axis=1) >= LINKS]
+            two = two[(sketch[two] == sketch[two + 1]).mean(axis=1) >= least]
             a, b = [rep[two]], [rep[two + 1]]
             for at, n in zip(first[size > 2], size[size > 2], strict=True):
-                label = join_sketches(rep[at : at + n], sketch[at : at + n])
+                label = join_sketches(rep[at : at + n], sketch[at : at + n], least)
                 other = np.flatnonzero(label != np.arange(n))
                 a.append(rep[at + other])
                 b.append(rep[at + label[other]])
@@ -229,7 +239,7 @@ def report(docs: DataFrame, threshold: float = THRESHOLD, bucket_rows: int = BUC
     met = keys.join(shared, "bucket").join(reps.select("rep", "sketch"), "rep")
     parts = F.ceil(F.col("members") / bucket_rows).cast("int")
     met = pair_cells(met.withColumn("blocks", parts), "bucket", "rep").select("cell", "rep", "sketch")
-    links = met.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(_link(width), "a long, b long")
+    links = met.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(_link(width, least_agreement(threshold, width)), "a long, b long")
     group = components(links)
 
     # Every member of a candidate group, with the group's number of blocks.

@@ -52,6 +52,22 @@ def test_odd_rows(docs_of, odd, clashes):
     assert run(docs_of(odd, clashes)) == brute(odd)
 
 
+def test_a_lower_threshold_loses_no_pair(docs_of):
+    rows = []
+    for k in range(40):
+        w = prose(f"half{k}", 200, 10**6).split()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(f"edit{k}" if n % 16 == 8 else x for n, x in enumerate(w)))]
+    assert run(docs_of(rows), threshold=0.5) == brute(rows, 0.5)
+    assert all(r[2] == 1 for r in brute(rows, 0.5))
+
+
+def test_bounds_follow_the_threshold(docs_of):
+    assert np.ceil(op.least_agreement(0.8, 120) * 120) == 60
+    assert op.least_agreement(0.5, 24) < op.least_agreement(0.5, 120) < op.least_agreement(0.8, 120)
+    with pytest.raises(ValueError):
+        op.report(docs_of([(1, "a b c d e f")]), threshold=0.3)
+
+
 def test_empty(docs_of):
     assert run(docs_of([])) == [] and op.keep_one(docs_of([])).collect() == []
 
