@@ -1,20 +1,25 @@
 """N-gram Jaccard join: all documents whose sets of word 5-grams have a Jaccard similarity of THRESHOLD or more.
 
 1. Texts of equal word sequences fall into one representative; copies are only counted from here on.
-2. MinHash banding: each representative's signature is split into TREES bands of equal size, each hashed to one bucket. The size is fixed from
-   the threshold before any text is read: the most values, of DEPTH, at which a pair at the threshold meets in some band with TARGET_RECALL
-   or more. It is what an LSH forest would shorten its prefixes to for that recall; no tries are built.
-3. In a bucket, representatives whose sketches (one byte for each value of the signature) agree at all well are joined to a
-   candidate group. A pivot stands for what is nearly equal to it: by the triangle inequality, a partner of what it stands for is
-   close enough to it to be joined, so no pair of a bucket is lost. Most buckets need one pivot.
-4. Candidate groups are the components of these links. Only their texts are read again, as sets of shingles, and every pair of a group is
-   verified exactly by products of their incidence matrices. Groups with more than CELL_ROWS documents or CELL_SHINGLES shingles
-   are dealt into blocks, and each pair of blocks is a task; what comes out are counts and a spanning forest, never the pairs.
-5. Classes are the components of the verified links.
+2. MinHash LSH forest: a signature has DEPTH values for each of TREES tries. A trie is kept as its sorted signatures: rows are dealt out by
+   the shortest prefix that is ever matched and sorted by what follows it, a byte a level. Matched prefixes are shortened level by level,
+   from DEPTH to the length at which a pair at the threshold meets in some trie with TARGET_RECALL or more.
+3. On each level the members of a trie's node are held against the node's smallest one by their sketches (one byte for each value of the
+   signature). What agrees in COVERS is covered by it and isn't taken along to shorter prefixes; the rest goes on. So a representative's
+   prefix is shortened until something covers it, or to the end. Of all that cover it in some trie, the smallest is its cover.
+4. By the triangle inequality, a partner of what a cover stands for agrees with the cover itself to an extent that follows from the threshold.
+   In each node, all members are held against all covers of the node's members: a cover with what it stands for and what is so close
+   to it is a canopy. Every partner of a covered representative is in its cover's canopy, and canopies don't chain: what is far from a cover
+   isn't in its canopy, however many links lead there.
+5. Only members of canopies are read again, as sets of shingles. In each canopy, what its cover stands for is verified exactly against all
+   members, by products of their incidence matrices. Canopies with more than CELL_ROWS documents or CELL_SHINGLES shingles are dealt into
+   blocks, and each pair of blocks is a task; what comes out are counts and a spanning forest, never the pairs.
+6. Classes are the components of the verified links.
 
 Words are runs of letters and digits, lower-cased. A text of one to four words is a single shingle: it links to its copies only. Null texts and
 such without words link to nothing. A class is named by its smallest doc_id; null doc_ids come last. Rows that repeat a
-doc_id are documents of their own. Columns besides doc_id and text are left aside.
+doc_id are documents of their own. Long texts are signed whole, in blocks of their own. No documents: no rows. Columns besides doc_id and
+text are left aside by report(), whatever their names, and kept by keep_one().
 """
 
 from __future__ import annotations
@@ -24,33 +29,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plandag.llm.components import components
-from plandag.llm.shared import materialize, row_key, rows_with_keys
+from plandag.llm.shared import drop_table, materialize, row_key, rows_with_keys
 from plandag.llm.textkit import U, Block, binary_rows, blocks, grams, mix, per_row, prefix_hash, rows_of, span_hash, whole_groups, word_hashes, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET_RECALL = 24, 7, 0.9999
-#: Sketches that agree in COVERS are nearly equal; DEVIATIONS is how far a sketch may be off the similarity it stands for.
-COVERS, DEVIATIONS = 0.93, 3.0
-#: Members of a bucket in one task, and documents and shingles of a candidate group in one block.
-BUCKET_ROWS, CELL_ROWS, CELL_SHINGLES = 100_000, 2000, 2_000_000
+#: Sketches that agree in COVERS cover each other; DEVIATIONS is how far a sketch may be off the similarity it stands for.
+COVERS, DEVIATIONS = 0.8, 3.0
+#: Members of a node in one task, and documents and shingles of a canopy in one block.
+BUCKET_ROWS, CELL_ROWS, CELL_SHINGLES = 4096, 512, 1_000_000
+#: Pairs of sketches that are held against each other at once.
+PAIRS = 1 << 15
 
 
 def prefix_length(threshold: float, recall: float = TARGET_RECALL) -> int:
     """The longest prefix at which a pair at the threshold meets in one of the tries with the wanted probability."""
     if not 1 - (1 - threshold) ** TREES >= recall:
-        raise ValueError(f"{TREES} bands can't reach a recall of {recall} at a threshold of {threshold}")
+        raise ValueError(f"{TREES} tries can't reach a recall of {recall} at a threshold of {threshold}")
     depth = DEPTH
     while depth > 1 and 1 - (1 - threshold**depth) ** TREES < recall:
         depth -= 1
     return depth
 
 
-def least_agreement(threshold: float, width: int) -> float:
-    """The share of its values in which a sketch agrees, at DEVIATIONS, with that of a partner of what stands for it."""
+def least_agreement(threshold: float, width: int = TREES * DEPTH) -> float:
+    """The share of its values in which a sketch agrees, at DEVIATIONS, with that of a cover of its partner."""
     z = DEVIATIONS**2 / width
     equal = (COVERS + z / 2 - math.sqrt(z * COVERS * (1 - COVERS) + z * z / 4)) / (1 + z)  # the least similarity that COVERS can mean
     partner = max(0.0, threshold - (1 - equal))
@@ -94,20 +101,24 @@ def signatures(value: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _sign(depth: int):
+def _sign(short: int):
+    """Of each text: digests of its words, a key for each trie of the first `short` values, and the lowest byte of each value, trie by trie."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for block in blocks(batch["text"], lower=True):
                 value, bounds, digest = shingles(block)
-                signature = signatures(value, bounds, TREES * depth)
+                signature = signatures(value, bounds, TREES * DEPTH)
                 keys = np.zeros((len(signature), TREES), U)
-                for k in range(depth):
-                    keys = mix(keys + signature[:, k::depth].astype(U) + U(k + 1))
+                for k in range(short):
+                    keys = mix(keys + signature[:, k::DEPTH].astype(U) + U(k + 1))
                 keys = mix(keys + np.arange(1, TREES + 1, dtype=U))
                 own, n = batch.slice(at, len(signature)), np.diff(bounds)
                 at += len(signature)
-                yield pa.record_batch([own["doc_id"], own["text_hash"], *(pa.array(digest[:, k].view(np.int64)) for k in (0, 1)), pa.array(n), binary_rows(keys), binary_rows((signature & np.uint32(255)).astype(np.uint8))], ["doc_id", "text_hash", "d1", "d2", "n", "keys", "sketch"])
+                sketch = binary_rows((signature & np.uint32(255)).astype(np.uint8))
+                columns = [own["doc_id"], own["text_hash"], *(pa.array(digest[:, k].view(np.int64)) for k in (0, 1)), pa.array(n), binary_rows(keys), sketch]
+                yield pa.record_batch(columns, ["doc_id", "text_hash", "d1", "d2", "n", "keys", "sketch"])
 
     return run
 
@@ -115,40 +126,92 @@ def _sign(depth: int):
 SIGNED = "doc_id long, text_hash long, d1 long, d2 long, n long, keys binary, sketch binary"
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = rows_of(batch["keys"], np.int64, TREES)
-        yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(batch["rep"].to_numpy(), TREES))], ["bucket", "rep"])
+def _paths(short: int):
+    """A row for each trie: the node of the shortest prefix, and the path from there on as a number, a byte a level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
+                node = rows_of(part["keys"], np.int64, TREES)
+                below = rows_of(part["sketch"], np.uint8, TREES * DEPTH).reshape(-1, TREES, DEPTH)[:, :, short:]
+                path = np.zeros(node.shape, np.int64)
+                for k in range(DEPTH - short):
+                    path = path << 8 | below[:, :, k]
+                yield pa.record_batch([pa.array(node.ravel()), pa.array(path.ravel()), pa.array(np.repeat(part["rep"].to_numpy(), TREES))], ["node", "path", "rep"])
+
+    return run
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of equal values of each two rows."""
+    out = np.empty(len(a))
+    for k in range(0, len(a), PAIRS):
+        out[k : k + PAIRS] = (a[k : k + PAIRS] == b[k : k + PAIRS]).mean(axis=1)
+    return out
+
+
+def heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def cover(cell: np.ndarray, path: np.ndarray, rep: np.ndarray, sketch: np.ndarray, levels: int) -> np.ndarray:
+    """The index of what covers each member, or its own. Members are sorted by cell and path; all nodes of a level are taken at once."""
+    every = np.arange(len(rep))
+    by = every.copy()
+    for level in range(levels + 1):
+        left = every[by == every]  # matched prefixes get shorter: only what nothing covers is taken along
+        prefix = path >> (8 * level)
+        while len(left):
+            at = heads(cell[left], prefix[left])
+            size = np.diff(np.append(at, len(left)))
+            least = np.repeat(np.minimum.reduceat(rep[left], at), size)
+            pivot = np.repeat(left[rep[left] == least], size)
+            many = (np.repeat(size, size) > 1) & (left != pivot)
+            left, pivot = left[many], pivot[many]
+            alike = agreement(sketch[left], sketch[pivot]) >= COVERS
+            by[left[alike]] = pivot[alike]
+            left = left[~alike]
+    return by
+
+
+def _cover(levels: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "cell"):
+            rep = table["rep"].to_numpy()
+            by = cover(table["cell"].to_numpy(), table["path"].to_numpy(), rep, rows_of(table["sketch"], np.uint8, TREES * DEPTH), levels)
+            told = np.flatnonzero(by != np.arange(len(by)))
+            yield pa.record_batch([pa.array(rep[told]), pa.array(rep[by[told]])], ["rep", "cover"])
 
+    return run
 
-def join_sketches(rep: np.ndarray, sketch: np.ndarray, least: float) -> np.ndarray:
-    """For the members of a bucket, the member that stands for each one's candidate group."""
-    label, left = np.arange(len(rep)), np.ones(len(rep), bool)
-    while left.any() and (label != label[0]).any():
-        pivot = int(left.argmax())
-        alike = (sketch == sketch[pivot]).mean(axis=1)
-        near = alike >= least
-        label[np.isin(label, label[near])] = label[near].min()
-        left &= alike < COVERS
-        left[pivot] = False
-    return label
 
+def _near(least: float):
+    """Members of a cell (covers first) that are close enough to a cover that isn't their own."""
 
-def _link(width: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell"):
-            cell, rep, sketch = table["cell"].to_numpy(), table["rep"].to_numpy(), rows_of(table["sketch"], np.uint8, width)
-            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            size = np.diff(np.append(first, len(cell)))
-            two = first[size == 2]
-            two = two[(sketch[two] == sketch[two + 1]).mean(axis=1) >= least]
-            a, b = [rep[two]], [rep[two + 1]]
-            for at, n in zip(first[size > 2], size[size > 2], strict=True):
-                label = join_sketches(rep[at : at + n], sketch[at : at + n], least)
-                other = np.flatnonzero(label != np.arange(n))
-                a.append(rep[at + other])
-                b.append(rep[at + label[other]])
-            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            cell, member, rep, own = (table[c].to_numpy() for c in ("cell", "member", "rep", "cover"))
+            sketch = rows_of(table["sketch"], np.uint8, TREES * DEPTH)
+            first = heads(cell)
+            end = np.append(first[1:], len(cell))
+            middle = np.append(np.cumsum(member == 0), 0)  # so many covers up to here
+            covers = middle[end - 1] - middle[first - 1] * (first > 0)
+            which = np.flatnonzero(member == 0)
+            times = np.repeat(end - first - covers, covers)
+            start = np.repeat(first + covers, covers)
+            for part in np.split(np.arange(len(which)), np.flatnonzero(np.diff(np.cumsum(times) // PAIRS)) + 1):
+                t = times[part]
+                a = np.repeat(which[part], t)
+                b = np.repeat(start[part], t) + np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+                other = own[b] != rep[a]
+                a, b = a[other], b[other]
+                near = agreement(sketch[a], sketch[b]) >= least
+                yield pa.record_batch([pa.array(rep[a[near]]), pa.array(rep[b[near]])], ["canopy", "rep"])
 
     return run
 
@@ -158,121 +221,173 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         for block in blocks(batch["text"], lower=True):
             value, bounds, _ = shingles(block)
-            own = batch.slice(at, len(bounds) - 1)
-            at += len(bounds) - 1
             held = [np.unique(value[i:j]).tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.record_batch([*(own[c] for c in ("group", "blocks", "block", "rep", "copies")), pa.array(held, pa.binary())], ["group", "blocks", "block", "rep", "copies", "shingles"])
+            yield pa.record_batch([batch["rep"].slice(at, len(held)), pa.array(held, pa.binary())], ["rep", "shingles"])
+            at += len(held)
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs, by products of pieces of the incidence matrix; shingles of one set alone are left out."""
+def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of chosen sets with others, by products of pieces of the incidence matrix; shingles of one set alone are left out."""
     n = len(sets)
+    out = np.zeros((len(rows), len(columns)), np.float32)
     row = np.repeat(np.arange(n), [len(s) for s in sets])
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times[column] > 1
     row, column = row[shared], column[shared]
-    out = np.zeros((n, n), np.float32)
     if not len(column):
         return out
     _, column = np.unique(column, return_inverse=True)
-    width = max(256, (1 << 23) // n)
+    width = max(256, (1 << 22) // n)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     for low in range(0, int(column[-1]) + 1, width):
         i, j = np.searchsorted(column, [low, low + width])
         piece = np.zeros((n, min(width, int(column[-1]) + 1 - low)), np.float32)
         piece[row[i:j], column[i:j] - low] = 1
-        out += piece @ piece.T
+        out += piece[rows] @ piece[columns].T
     return out
 
 
+def roots(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes, the first one of its component; linked holds for rows against columns."""
+    root = np.arange(n)
+    left = np.ones(n, bool)
+    row_of, column_of = np.full(n, -1), np.full(n, -1)
+    row_of[rows], column_of[columns] = np.arange(len(rows)), np.arange(len(columns))
+    for k in range(n):
+        if not left[k]:
+            continue
+        front = np.array([k])
+        while len(front):
+            left[front] = False
+            root[front] = k
+            seen = np.zeros(n, bool)
+            seen[columns[linked[row_of[front][row_of[front] >= 0]].any(axis=0)]] = True
+            seen[rows[linked[:, column_of[front][column_of[front] >= 0]].any(axis=1)]] = True
+            front = np.flatnonzero(seen & left)
+    return root
+
+
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell", 2000):
-            cell, every = table["cell"].to_numpy(), table["rep"].to_numpy()
-            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            out: list[tuple[np.ndarray, ...]] = []
+            cell = table["cell"].to_numpy()
+            first = heads(cell)
+            out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
             for at, end in zip(first, np.append(first[1:], len(cell)), strict=True):
-                _, once = np.unique(every[at:end], return_index=True)  # rows of equal doc_id and text are read more than once
-                own = table.take(pa.array(at + once))
-                rep, copies, block = (own[c].to_numpy() for c in ("rep", "copies", "block"))
-                sets = [np.frombuffer(x, U) for x in own["shingles"].to_pylist()]
+                if end == at + 1:
+                    continue
+                own = table.slice(at, end - at)
+                rep, copies = own["rep"].to_numpy(), own["copies"].to_numpy()
+                rows, columns = (np.flatnonzero(own[c].to_numpy()) for c in ("chosen", "held"))
+                sets = [np.frombuffer(x.as_buffer(), U) for x in own["shingles"]]
                 size = np.array([len(s) for s in sets], np.float32)
-                both = overlaps(sets)
-                linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-3
-                np.fill_diagonal(linked, False)
-                if own["cross"][0].as_py():
-                    linked &= block[:, None] != block[None, :]  # pairs within a block are another cell's
-                links = linked @ copies
-                root = np.arange(len(rep))
-                left = np.ones(len(rep), bool)
-                while left.any():
-                    seen = np.zeros(len(rep), bool)
-                    front = np.array([left.argmax()])
-                    while len(front):
-                        seen[front] = True
-                        front = np.flatnonzero(linked[front].any(axis=0) & ~seen)
-                    root[seen] = np.flatnonzero(seen)[0]
-                    left &= ~seen
-                out.append((rep, rep[root], links, np.full(len(rep), own["blocks"][0].as_py())))
-            yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["rep", "root", "links", "blocks"])
+                both = overlaps(sets, rows, columns)
+                linked = both >= threshold * (size[rows][:, None] + size[columns][None, :] - both) - 1e-3
+                linked &= rows[:, None] != columns[None, :]
+                links = np.zeros(len(rep), np.int64)
+                links[rows] = linked @ copies[columns]
+                root = roots(linked, rows, columns, len(rep))
+                told = np.flatnonzero((links > 0) | (root != np.arange(len(rep))))
+                out.append((rep[told], rep[root[told]], links[told]))
+            yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["rep", "root", "links"])
 
     return run
 
 
-def report(docs: DataFrame, threshold: float = THRESHOLD, bucket_rows: int = BUCKET_ROWS, cell_rows: int = CELL_ROWS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+def _block(member: str, n: str, salt: int = 0) -> Column:
+    return F.pmod(F.xxhash64(member, F.lit(salt)), n).cast("int")
+
+
+def canopies(reps: DataFrame, short: int, least: float, bucket_rows: int) -> DataFrame:
+    """reps: (rep, keys, sketch). (canopy, rep, chosen): the members of canopies of several, and whether the canopy is that of their cover."""
+    paths = reps.select("rep", "keys", "sketch").mapInArrow(_paths(short), "node long, path long, rep long")
+    shared = materialize(paths.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "nodes")
+    met = materialize(paths.join(shared, "node"), "members")
+    sketches = reps.select("rep", "sketch")
+    blocked = met.withColumn("blocks", F.ceil(F.col("members") / bucket_rows).cast("int"))
+    tries = blocked.join(sketches, "rep").select(F.xxhash64("node", _block("rep", "blocks")).alias("cell"), "path", "rep", "sketch")
+    found = tries.repartition("cell").sortWithinPartitions("cell", "path").mapInArrow(_cover(DEPTH - short), "rep long, cover long")
+    found = materialize(found.groupBy("rep").agg(F.min("cover").alias("cover")), "covers")
+
+    own = materialize(met.select("node", "rep").join(found, "rep", "left").select("node", "rep", F.coalesce("cover", "rep").alias("cover")), "covered")
+    # Where all members have the same cover, nothing is to be found.
+    several = own.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("cover").alias("a"), F.max("cover").alias("b")).where("a <> b").select("node", "members")
+    several = materialize(several, "open-nodes")
+    covers = materialize(own.join(several, "node").select("node", "cover").distinct(), "node-covers")
+    sizes = several.join(covers.groupBy("node").agg(F.count(F.lit(1)).alias("covers")), "node")
+    sizes = sizes.select("node", *[F.ceil(F.col(c) / bucket_rows).cast("int").alias(b) for c, b in (("members", "mb"), ("covers", "cb"))])
+    side = lambda df, mine, theirs, member: df.select(
+        F.xxhash64("node", *([_block("rep", mine), "other"] if member else ["other", _block("rep", mine)])).alias("cell"), F.lit(member).cast("int").alias("member"), "rep", "cover", "sketch")
+    opened = own.join(sizes, "node").join(sketches, "rep")
+    members = side(opened.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cb") - 1))), "mb", "cb", True)
+    held = covers.select("node", F.col("cover").alias("rep"), "cover").join(sizes, "node").join(sketches, "rep")
+    held = side(held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))), "cb", "mb", False)
+    near = members.unionAll(held).repartition("cell").sortWithinPartitions("cell", "member").mapInArrow(_near(least), "canopy long, rep long")
+    loose = near.distinct().select("canopy", "rep", F.lit(False).alias("chosen"))
+    every = materialize(own.select(F.col("cover").alias("canopy"), "rep", F.lit(True).alias("chosen")).distinct().unionAll(loose), "canopies")
+    many = every.groupBy("canopy").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("canopy")
+    out = materialize(every.join(many, "canopy"), "canopy-members")
+    for done in (shared, met, found, own, several, covers, every):
+        drop_table(done)
+    return out
+
+
+def verified(texts: DataFrame, reps: DataFrame, member: DataFrame, threshold: float, cell_rows: int, cell_shingles: int) -> DataFrame:
+    """(rep, root, links): rows of the same rep are to be summed up, and connected by their roots."""
+    wanted = member.select("rep").distinct().join(reps.select("rep", "rep_doc", "rep_hash"), "rep")
+    same = texts["doc_id"].eqNullSafe(wanted["rep_doc"]) & (texts["text_hash"] == wanted["rep_hash"])
+    # Rows of equal doc_id and text are read more than once.
+    sets = texts.join(wanted, same).select("rep", "text").mapInArrow(_sets, "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles"))
+    sets = materialize(sets, "shingle-sets")
+    sized = member.join(reps.select("rep", "n", "copies"), "rep")
+    need = lambda which: F.greatest(F.ceil(F.sum(F.when(which, F.col("n"))) / cell_shingles), F.ceil(F.count_if(which) / cell_rows), F.lit(1)).cast("int")
+    parts = sized.groupBy("canopy").agg(need(F.col("chosen")).alias("cb"), need(F.lit(True)).alias("hb"))
+    placed = sized.drop("n").join(parts, "canopy").withColumns({"c": _block("rep", "cb", 1), "h": _block("rep", "hb", 2)})
+    # As held against: with all blocks of the chosen ones. As chosen: with all blocks, the one where it is held against is that row already.
+    held = F.transform(F.sequence(F.lit(0), F.col("cb") - 1), lambda i: F.struct(i.alias("i"), F.col("h").alias("j"), (F.col("chosen") & (i == F.col("c"))).alias("chosen"), F.lit(True).alias("held")))
+    chosen = F.transform(F.filter(F.sequence(F.lit(0), F.col("hb") - 1), lambda j: F.col("chosen") & (j != F.col("h"))), lambda j: F.struct(F.col("c").alias("i"), j.alias("j"), F.lit(True).alias("chosen"), F.lit(False).alias("held")))
+    cells = placed.select("canopy", "rep", "copies", F.explode(F.concat(held, chosen)).alias("x"))
+    cells = cells.select(F.xxhash64("canopy", "x.i", "x.j").alias("cell"), "rep", "copies", "x.chosen", "x.held").join(sets, "rep")
+    checked = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify(threshold), "rep long, root long, links long")
+    checked = materialize(checked, "verified")
+    drop_table(sets)
+    return checked
+
+
+def report(
+    docs: DataFrame, threshold: float = THRESHOLD, bucket_rows: int = BUCKET_ROWS, cell_rows: int = CELL_ROWS, cell_shingles: int = CELL_SHINGLES
+) -> DataFrame:
     """A row for each document: doc_id, class_id, n_links (other documents at the threshold or above, copies included), class_size, keeper, text_hash.
 
     keeper: this document, or a row with the same doc_id and text, stands for the class.
     """
-    depth = prefix_length(threshold)
-    width = TREES * depth
+    short = prefix_length(threshold)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    signed = texts.mapInArrow(_sign(depth), SIGNED).withColumn("row", F.monotonically_increasing_id())
-    signed = materialize(signed, "signatures")
+    signed = materialize(texts.mapInArrow(_sign(short), SIGNED).withColumn("row", F.monotonically_increasing_id()), "signatures")
     named = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     reps = signed.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(named).alias("name"))
-    reps = materialize(reps.join(signed.select(F.col("row").alias("rep"), F.col("doc_id").alias("rep_doc"), F.col("text_hash").alias("rep_hash"), "n", "keys", "sketch"), "rep"), "representatives")
-
-    keys = reps.select("rep", "keys").mapInArrow(_keys, "bucket long, rep long")
-    shared = materialize(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
-    met = keys.join(shared, "bucket").join(reps.select("rep", "sketch"), "rep")
-    parts = F.ceil(F.col("members") / bucket_rows).cast("int")
-    met = pair_cells(met.withColumn("blocks", parts), "bucket", "rep").select("cell", "rep", "sketch")
-    links = met.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(_link(width, least_agreement(threshold, width)), "a long, b long")
-    group = components(links)
-
-    # Every member of a candidate group, with the group's number of blocks.
-    member = group.select(F.col("a").alias("rep"), F.col("b").alias("group")).unionAll(group.select(F.col("b").alias("rep"), F.col("b").alias("group")).distinct())
-    member = materialize(member.join(reps.select("rep", "rep_doc", "rep_hash", "n", "copies"), "rep"), "candidates")
-    sizes = member.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / cell_shingles), F.ceil(F.count(F.lit(1)) / cell_rows)).cast("int").alias("blocks"))
-    wanted = member.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).drop("n")
-    same = texts["doc_id"].eqNullSafe(wanted["rep_doc"]) & (texts["text_hash"] == wanted["rep_hash"])
-    # By hash at every size: the texts are dealt out once and aren't sorted.
-    sets = texts.join(wanted.hint("shuffle_hash"), same).select("group", "blocks", "block", "rep", "copies", "text").mapInArrow(_sets, "group long, blocks int, block int, rep long, copies long, shingles binary")
-    cells = pair_cells(sets, "group", "rep").select("cell", "cross", "blocks", "block", "rep", "copies", "shingles")
-    checked = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify(threshold), "rep long, root long, links long, blocks long")
-    checked = materialize(checked, "verified")
-    counts = checked.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("blocks").alias("blocks"))
-    large = checked.where("blocks > 1").select(F.col("rep").alias("a"), F.col("root").alias("b"))
-    if not large.isEmpty():
-        joined = components(large).select(F.col("a").alias("rep"), F.col("b").alias("joined"))
-        counts = counts.join(joined, "rep", "left").select("rep", "links", F.when(F.col("blocks") > 1, F.coalesce("joined", "rep")).otherwise(F.col("root")).alias("root"))
-    found = reps.select("d1", "d2", "rep", "copies", "name").join(counts.select("rep", "links", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep")).withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    rows = signed.select(F.col("row").alias("rep"), F.col("doc_id").alias("rep_doc"), F.col("text_hash").alias("rep_hash"), "n", "keys", "sketch")
+    reps = materialize(reps.join(rows, "rep"), "representatives")
+
+    member = canopies(reps, short, least_agreement(threshold), bucket_rows)
+    checked = verified(texts, reps, member, threshold, cell_rows, cell_shingles)
+    drop_table(member)
+    counts = checked.groupBy("rep").agg(F.sum("links").alias("links"))
+    joined = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("a").alias("rep"), F.col("b").alias("root"))
+    found = reps.select("d1", "d2", "rep", "copies", "name").join(counts, "rep", "left").join(joined, "rep", "left")
+    found = found.withColumns({"root": F.coalesce("root", "rep"), "links": F.coalesce("links", F.lit(0)) + F.col("copies") - 1})
+    found = materialize(found, "classes")
+    for done in (checked, joined, reps):
+        drop_table(done)
     classes = found.groupBy("root").agg(F.min("name").alias("first"), F.sum("copies").alias("class_size"))
     told = found.select("d1", "d2", "links", "root").join(classes, "root").drop("root")
     out = signed.where("n > 0").select("doc_id", "text_hash", "d1", "d2").join(told, ["d1", "d2"])
     keeper = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     out = out.select("doc_id", F.col("first.doc_id").alias("class_id"), F.col("links").alias("n_links"), "class_size", keeper.alias("keeper"), "text_hash")
-    alone = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("keeper"), "text_hash")
-    return out.unionAll(alone)
-
-
-def pair_cells(df: DataFrame, group: str, member: str) -> DataFrame:
-    """With cell, a number for each pair of a group's blocks, and cross, whether they are two. A member goes to all pairs of its block; with one block there is one."""
-    block = F.pmod(F.xxhash64(member), "blocks")
-    other = df.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.withColumns({"cell": F.xxhash64(group, F.least(block, "__other"), F.greatest(block, "__other")), "cross": block != F.col("__other")}).drop("__other")
+    alone = signed.where("n = 0")
+    long = lambda x: F.lit(x).cast("long")
+    return out.unionAll(alone.select("doc_id", F.col("doc_id").alias("class_id"), long(0).alias("n_links"), long(1).alias("class_size"), F.lit(True).alias("keeper"), "text_hash"))
 
 
 def keep_one(docs: DataFrame, **options: object) -> DataFrame:

@@ -55,6 +55,6 @@ def row_key(doc_id: Column, digest: Column) -> Column:
 def rows_with_keys(docs: DataFrame, key: Column, kept: DataFrame, once: Column) -> DataFrame:
     """docs whose key is among kept's (a column "key"); where once holds, one row for each key. The rows are dealt out by key and sorted once."""
     name, number = fresh("__key", docs), fresh("__number", docs)
-    rows = docs.withColumn(name, key).join(kept.select(F.col("key").alias(name)).hint("shuffle_hash"), name, "left_semi")
+    rows = docs.withColumn(name, key).join(kept.select(F.col("key").alias(name)), name, "left_semi")
     rank = F.row_number().over(Window.partitionBy(name).orderBy(name))
     return rows.withColumn(number, F.when(once, rank).otherwise(1)).where(F.col(number) == 1).select(*docs.columns)

@@ -71,23 +71,22 @@ class Block:
 
 
 def blocks(texts: pa.Array | pa.ChunkedArray, size: int = BLOCK, lower: bool = False) -> Iterator[Block]:
-    """Null counts as empty."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.utf8_lower(texts)
-    if not len(texts):
-        return
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
-        own = offsets[i : j + 1] - offsets[i]
-        yield Block(i, data[offsets[i] : offsets[j]], own[:-1], own[1:])
-        i = j
+    """Null counts as empty. Of a batch, only a block at a time is copied and lower-cased."""
+    first = 0
+    for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(chunk), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        i = 0
+        while i < len(chunk):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, side="right")))
+            own = pc.fill_null(chunk.slice(i, j - i).cast(pa.large_string()), "")
+            if lower:
+                own = pc.utf8_lower(own)
+            _, offsets, data = own.buffers()
+            offsets = np.frombuffer(offsets, np.int64)[own.offset : own.offset + j - i + 1]
+            data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
+            yield Block(first + i, data, offsets[:-1] - offsets[0], offsets[1:] - offsets[0])
+            i = j
+        first += len(chunk)
 
 
 @dataclass
@@ -149,26 +148,26 @@ def per_row(ufunc: np.ufunc, values: np.ndarray, bounds: np.ndarray, empty: obje
     return out
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches that are sorted by key; a table ends once it has so many rows."""
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000, size: int = 1 << 24) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by key; a table ends once it has so many rows or bytes."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    n, nbytes, factor = 0, 0, 1
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.num_rows
-        if size < rows:
-            continue
-        table = pa.Table.from_batches(held)
-        last = pc.index(table[key], table[key][-1]).as_py()  # where the last group begins
-        if last:
-            yield table.slice(0, last)
-        held, size = table.slice(last).combine_chunks().to_batches(), table.num_rows - last
-        rows_left = max(size, 1)
-        if not last and rows_left >= rows:
-            rows = 2 * rows_left  # one large group: look again when there is as much once more
-    if size:
+        step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for part in (batch.slice(k, step) for k in range(0, batch.num_rows, step)):
+            held.append(part)
+            n, nbytes = n + part.num_rows, nbytes + part.nbytes
+            if n < factor * rows and nbytes < factor * size:
+                continue
+            table = pa.Table.from_batches(held)
+            last = pc.index(table[key], table[key][-1]).as_py()  # where the last group begins
+            if last:
+                yield table.slice(0, last)
+            # One large group: look again when there is as much once more.
+            factor = 1 if last else 2 * factor
+            held = table.slice(last).combine_chunks().to_batches()
+            n, nbytes = sum(b.num_rows for b in held), sum(b.nbytes for b in held)
+    if n:
         yield pa.Table.from_batches(held)
 
 
