@@ -5,17 +5,18 @@ the one with the smallest hash (ties: the first). The anchor depends on the wind
 anchors at equal distances, and only windows of equal anchors need comparing. Successive windows mostly share their anchor: a
 run of them with the bytes it covers is an occurrence of the anchor.
 
-1. Occurrences are summed up by (anchor, covered bytes). If the same bytes occur twice, all their windows are repeated. This sums up
-   exact copies before anything is shuffled, whatever their number.
+1. Occurrences are summed up by anchor and a digest of the covered bytes (BLAKE2b, 128 bits, so equal digests are taken for equal bytes). If the
+   same bytes occur twice, all their windows are repeated. This sums up exact copies before anything is shuffled, whatever their number.
 2. What is left, distinct occurrences of one anchor, goes to a suffix array: their suffixes from the anchor on are sorted by a merge sort
    whose comparisons find the common extension by binary search over prefix polynomial hashes. Windows at a distance d from the
    anchor are equal if their suffixes lie in one run of common extensions of LENGTH - d or more and the d bytes before are equal.
-3. What hashes have found equal is compared byte by byte; a group with a collision is done again on the bytes themselves.
-4. An anchor with more than HOT distinct occurrences is dealt into tasks. Each sorts its part; what is repeated in no part alone is summed up over the
-   parts by a digest of the window.
+3. What polynomial hashes have found equal is compared byte by byte; a group with a collision is done again on the bytes themselves.
+4. An anchor with more than HOT distinct occurrences is dealt into tasks. Each sorts its part and tells a digest (as in 1) of each distinct window;
+   windows that several parts have are then marked in each of those parts, which are sorted once more.
 
-Repeats are judged on the input. Null texts count as empty; texts of less than LENGTH bytes keep all. Rows that repeat a doc_id are
-documents of their own; rows that repeat doc_id and text repeat each other's substrings. Columns besides doc_id and text are left aside.
+Repeats are judged on the input. Null texts count as empty; texts of less than LENGTH bytes keep all; long texts are worked on in pieces that
+overlap. Rows that repeat a doc_id are documents of their own; rows that repeat doc_id and text repeat each other's substrings. No documents: no
+rows. Columns besides doc_id and text are left aside, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plandag.llm.shared import materialize
+from plandag.llm.shared import drop_table, materialize
 from plandag.llm.textkit import BLOCK, Block, U, blocks, mix, powers, prefix_hash, span_hash, whole_groups
 
-LENGTH, ANCHOR, HOT = 400, 64, 20_000
+LENGTH, ANCHOR, HOT = 400, 64, 512
 LOW = U(0xFFFFFFFF)
 
 
@@ -48,11 +49,13 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def occurrences(block: Block, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Of each run of windows with one anchor: row, first window, last window, anchor's place (all within the text), hashes of anchor and covered bytes."""
+    """Of each run of windows with one anchor: row, first window, last window, anchor's place (all within the text), the anchor's hash, and where the
+    covered bytes begin and end in the block."""
     prefix = prefix_hash(block.data)
     starts = np.arange(max(0, len(block.data) - anchor + 1))
     if len(block.data) < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, U), np.zeros(0, U))
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, np.zeros(0, U), none, none
     # BASE**-k by place, then mixed: as span_hash(), without a gather
     gram = mix((prefix[anchor:] - prefix[: len(starts)]) * powers(len(prefix), "down")[: len(starts)])
     at = (sliding_min((gram & ~LOW) | starts.astype(U), length - anchor + 1) & LOW).astype(np.int64)
@@ -70,12 +73,17 @@ def occurrences(block: Block, length: int, anchor: int) -> tuple[np.ndarray, ...
     end = np.append(first[1:], len(at)) - 1
     end = np.minimum(end, block.ends[row] - length)
     p = at[first]
-    whole = mix(span_hash(prefix, first, end + length) + mix((p - first).astype(U) * U(1 << 20) + (end - first).astype(U)))
     zero = block.starts[row]
-    return row, first - zero, end - zero, p - zero, gram[p], whole
+    return row, first - zero, end - zero, p - zero, gram[p], first, end + length
 
 
-FOUND = "doc_id long, text_hash long, anchor long, covered long, first int, last int, at int"
+def digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two numbers for each of the strings."""
+    told = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return np.frombuffer(b"".join(told), np.int64).reshape(-1, 2)
+
+
+FOUND = "doc_id long, text_hash long, anchor long, c1 long, c2 long, first int, last int, at int"
 
 
 def pieces(block: Block, length: int, size: int) -> Iterator[tuple[Block, int]]:
@@ -92,15 +100,18 @@ def _find(length: int, anchor: int, size: int = BLOCK):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, low in (p for b in blocks(batch["text"], size) for p in pieces(b, length, size)):
-                row, first, last, at, gram, whole = occurrences(block, length, anchor)
-                first, last, at = first + low, last + low, at + low
-                rows = pa.array(row + block.first)
-                yield pa.record_batch([batch["doc_id"].take(rows), batch["text_hash"].take(rows), pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (first, last, at))], [x.split()[0] for x in FOUND.split(", ")])
+                row, first, last, at, gram, begin, end = occurrences(block, length, anchor)
+                rows, covered = pa.array(row + block.first), digests(block.data.tobytes(), begin, end)
+                columns = [batch["doc_id"].take(rows), batch["text_hash"].take(rows), *(pa.array(x) for x in (gram.view(np.int64), covered[:, 0], covered[:, 1]))]
+                columns += [pa.array((x + low).astype(np.int32)) for x in (first, last, at)]
+                yield pa.record_batch(columns, [x.split()[0] for x in FOUND.split(", ")])
 
     return run
 
 
 CUT = "doc_id long, text_hash long, anchor long, first int, last int, at int, n long, salt int, bytes binary"
+#: Documents of a batch that are taken apart at once.
+ROWS = 256
 
 
 def _cut(length: int, held: int = 1 << 22):
@@ -111,7 +122,7 @@ def _cut(length: int, held: int = 1 << 22):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             for doc_id, text_hash, text, own in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_hash", "text", "own")), strict=True):
                 data = text.encode()
                 for x in own:
@@ -225,36 +236,65 @@ def repeated(data: np.ndarray, begin: np.ndarray, at: np.ndarray, windows: np.nd
     return owner, start, stands
 
 
-SPANS = "doc_id long, text_hash long, first int, last int, d1 long, d2 long"
+SPANS = "doc_id long, text_hash long, first int, last int, part long, d1 long, d2 long"
+
+
+class Part:
+    """Occurrences sorted, and for each window its occurrence, its place in the document, the window that stands for it, and how many that is."""
+
+    def __init__(self, table: pa.Table, length: int) -> None:
+        self.length, self.table = length, table.combine_chunks()
+        size = pc.binary_length(self.table["bytes"]).to_numpy().astype(np.int64)
+        self.raw = b"".join(x.as_buffer() for x in self.table["bytes"])
+        begin = np.cumsum(size) - size
+        first, last, at, self.n, self.salt = (self.table[c].to_numpy().astype(np.int64) for c in ("first", "last", "at", "n", "salt"))
+        self.part = self.table["part"].to_numpy()
+        self.owner, self.start, self.stands = repeated(np.frombuffer(self.raw, np.uint8), begin, begin + at - first, last - first + 1, self.part, length)
+        self.place = self.start - begin[self.owner] + first[self.owner]
+        self.times = np.bincount(self.stands, minlength=len(self.stands))[self.stands]
+
+    def stretches(self, told: np.ndarray) -> pa.RecordBatch:
+        """Of the chosen windows, in order: runs that follow one another in one occurrence."""
+        new = np.ones(len(told), bool)
+        new[1:] = (np.diff(self.place[told]) != 1) | (np.diff(self.owner[told]) != 0)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(told))[: len(first)] - 1
+        return self.rows(self.owner[told[first]], self.place[told[first]], self.place[told[last]], None)
+
+    def rows(self, owner: np.ndarray, first: np.ndarray, last: np.ndarray, digest: np.ndarray | None) -> pa.RecordBatch:
+        own = self.table.select(["doc_id", "text_hash"]).take(pa.array(owner))
+        marks = [pa.nulls(len(owner), pa.int64())] * 2 if digest is None else [pa.array(digest[:, k]) for k in (0, 1)]
+        ids = [own[c].combine_chunks() for c in ("doc_id", "text_hash")]
+        return pa.record_batch([*ids, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(self.part[owner]), *marks], [x.split()[0] for x in SPANS.split(", ")])
+
+    def digests(self, which: np.ndarray) -> np.ndarray:
+        return digests(self.raw, self.start[which], self.start[which] + self.length)
 
 
 def _sort(length: int):
-    """Stretches of repeated windows (d1 null); of salted parts also what isn't repeated there, window by window, with a digest."""
+    """Stretches of repeated windows (d1 null); of dealt anchors also a digest of each distinct window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "part", 4000):
-            table = table.combine_chunks()
-            size = pc.binary_length(table["bytes"]).to_numpy().astype(np.int64)
-            raw = b"".join(table["bytes"].to_pylist())
-            data = np.frombuffer(raw, np.uint8)
-            begin = np.cumsum(size) - size
-            first, last, at, n, salt = (table[c].to_numpy().astype(np.int64) for c in ("first", "last", "at", "n", "salt"))
-            part = table["part"].to_numpy()
-            owner, start, stands = repeated(data, begin, begin + at - first, last - first + 1, part, length)
-            twice = np.bincount(stands, minlength=len(stands))[stands] > 1 if len(stands) else np.zeros(0, bool)
-            place = start - begin[owner] + first[owner]
-            told = np.flatnonzero(twice & (n[owner] == 1))
-            heads = np.flatnonzero(np.append(True, (np.diff(place[told]) != 1) | (np.diff(owner[told]) != 0))) if len(told) else told
-            tails = np.append(heads[1:], len(told)) - 1 if len(told) else told
-            rows, low, high = owner[told[heads]], place[told[heads]], place[told[tails]]
-            # One window stands for all that are equal within a salted part.
-            once = np.flatnonzero((salt[owner] >= 0) & (stands == np.arange(len(stands))))
-            digest = np.frombuffer(b"".join(hashlib.blake2b(raw[p : p + length], digest_size=16).digest() for p in start[once]), np.int64).reshape(-1, 2)
-            rows, low, high = np.concatenate([rows, owner[once]]), np.concatenate([low, place[once]]), np.concatenate([high, place[once]])
-            none = np.arange(len(rows)) < len(heads)
-            pad = np.concatenate([np.zeros((len(heads), 2), np.int64), digest])
-            own = table.select(["doc_id", "text_hash"]).take(pa.array(rows))
-            yield pa.record_batch([own["doc_id"].combine_chunks(), own["text_hash"].combine_chunks(), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), *(pa.array(pad[:, k], mask=none) for k in (0, 1))], [x.split()[0] for x in SPANS.split(", ")])
+        for table in whole_groups(batches, "part", 4000, 1 << 22):
+            own = Part(table, length)
+            yield own.stretches(np.flatnonzero((own.times > 1) & (own.n[own.owner] == 1)))
+            once = np.flatnonzero((own.salt[own.owner] >= 0) & (own.stands == np.arange(len(own.stands))))
+            yield own.rows(own.owner[once], own.place[once], own.place[once], own.digests(once))
+
+    return run
+
+
+def _sort_again(length: int):
+    """Of a dealt anchor's part, given digests of windows that other parts have too: stretches of those that occur here once."""
+
+    def run(cut: pa.Table, elsewhere: pa.Table) -> pa.Table:
+        if not cut.num_rows or not elsewhere.num_rows:
+            return pa.table({x.split()[0]: pa.array([], pa.int32() if x.endswith(" int") else pa.int64()) for x in SPANS.split(", ")})
+        own = Part(cut, length)
+        once = np.flatnonzero((own.times == 1) & (own.n[own.owner] == 1))
+        wanted = set(zip(elsewhere["d1"].to_pylist(), elsewhere["d2"].to_pylist(), strict=True))
+        hit = np.fromiter((tuple(d) in wanted for d in own.digests(once).tolist()), bool, len(once))
+        return pa.Table.from_batches([own.stretches(once[hit])])
 
     return run
 
@@ -262,7 +302,7 @@ def _sort(length: int):
 def spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """texts: (doc_id, text, text_hash). (doc_id, text_hash, first, last): windows that start from first to last are repeated."""
     found = materialize(texts.mapInArrow(_find(length, anchor), FOUND), "occurrences")
-    key = ["anchor", "covered"]
+    key = ["anchor", "c1", "c2"]
     one = F.struct("doc_id", "text_hash", "first", "last", "at")
     alike = materialize(found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one")), "covered-bytes")
     copies = found.join(alike.where("n > 1").select(*key), key).select("doc_id", "text_hash", "first", "last")
@@ -270,38 +310,25 @@ def spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int
     # Written first: the join is then one of two plain exchanges, whose skewed partitions Spark splits.
     several = materialize(alike.groupBy("anchor").agg(F.count(F.lit(1)).alias("distinct")).where("distinct > 1"), "open-anchors")
     parts = F.ceil(F.col("distinct") / hot)
-    open_ones = alike.join(several, "anchor").withColumn("salt", F.when(parts > 1, F.pmod(F.xxhash64("covered"), parts)).otherwise(F.lit(-1)).cast("int"))
-    own = open_ones.groupBy(F.col("one.doc_id").alias("wanted"), F.col("one.text_hash").alias("wanted_hash")).agg(F.collect_list(F.struct("anchor", F.col("one.first").alias("first"), F.col("one.last").alias("last"), F.col("one.at").alias("at"), "n", "salt")).alias("own"))
+    salt = F.when(parts > 1, F.pmod(F.xxhash64("c1"), parts)).otherwise(F.lit(-1)).cast("int")
+    open_ones = alike.join(several, "anchor").withColumn("salt", salt)
+    each = F.struct("anchor", *[F.col(f"one.{c}").alias(c) for c in ("first", "last", "at")], "n", "salt")
+    own = open_ones.groupBy(F.col("one.doc_id").alias("wanted"), F.col("one.text_hash").alias("wanted_hash")).agg(F.collect_list(each).alias("own"))
     same = texts["doc_id"].eqNullSafe(own["wanted"]) & (texts["text_hash"] == own["wanted_hash"])
     # Rows that repeat doc_id and text have no open occurrence: their bytes occur twice. They are read once, as witnesses.
-    cut = texts.join(own, same).select("doc_id", "text_hash", "text", "own").mapInArrow(_cut(length), CUT).withColumn("part", F.xxhash64("anchor", "salt"))
-    sorted_spans = cut.repartition("part").sortWithinPartitions("part").mapInArrow(_sort(length), SPANS)
-    sorted_spans = materialize(sorted_spans, "spans")
-    told = sorted_spans.where("d1 is null").select("doc_id", "text_hash", "first", "last")
-    parted = sorted_spans.where("d1 is not null")
-    if not parted.isEmpty():
-        told = told.unionAll(_over_parts(parted, cut, length))
-    return copies.unionAll(told)
-
-
-def _over_parts(parted: DataFrame, cut: DataFrame, length: int) -> DataFrame:
-    """Windows of dealt anchors that are repeated over several parts."""
-    twice = parted.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("d1", "d2")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                own = batch.slice(k, 256)
-                first, raw = own["first"].to_numpy(), own["bytes"].to_pylist()
-                count = own["last"].to_numpy() - first + 1
-                rows = np.repeat(np.arange(own.num_rows), count)
-                place = np.concatenate([np.arange(c) for c in count])
-                digest = np.frombuffer(b"".join(hashlib.blake2b(raw[r][p : p + length], digest_size=16).digest() for r, p in zip(rows, place, strict=True)), np.int64).reshape(-1, 2)
-                held, at = own.select(["doc_id", "text_hash"]).take(pa.array(rows)), pa.array((place + first[rows]).astype(np.int32))
-                yield pa.record_batch([held["doc_id"], held["text_hash"], at, at, pa.array(digest[:, 0]), pa.array(digest[:, 1])], [x.split()[0] for x in SPANS.split(", ")])
-
-    every = cut.where("salt >= 0").drop("part").mapInArrow(windows, SPANS)
-    return every.join(twice, ["d1", "d2"], "left_semi").select("doc_id", "text_hash", "first", "last")
+    cut = texts.join(own, same).select("doc_id", "text_hash", "text", "own").mapInArrow(_cut(length), CUT)
+    cut = materialize(cut.withColumn("part", F.xxhash64("anchor", "salt")), "cut")
+    told = materialize(cut.repartition("part").sortWithinPartitions("part").mapInArrow(_sort(length), SPANS), "spans")
+    out = told.where("d1 is null").select("doc_id", "text_hash", "first", "last")
+    dealt = told.where("d1 is not null")
+    if not dealt.isEmpty():
+        twice = dealt.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("d1", "d2")
+        elsewhere = dealt.select("part", "d1", "d2").join(twice, ["d1", "d2"], "left_semi")
+        again = cut.where("salt >= 0").groupBy("part").cogroup(elsewhere.groupBy("part")).applyInArrow(_sort_again(length), SPANS)
+        out = out.unionAll(materialize(again.select("doc_id", "text_hash", "first", "last"), "dealt-spans"))
+    for done in (several, cut):
+        drop_table(done)
+    return copies.unionAll(out)
 
 
 def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -317,7 +344,7 @@ def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 
 def _remove(length: int, want_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             out: list[tuple] = []
             for text, own in zip(batch["text"].to_pylist(), batch["own"].to_pylist(), strict=True):
                 data = text.encode()

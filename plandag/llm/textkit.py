@@ -19,7 +19,7 @@ BASE_INVERSE = U(pow(int(BASE), -1, 2**64))
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 #: Bytes of text worked on at once; a longer text is a block of its own.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

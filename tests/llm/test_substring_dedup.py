@@ -52,6 +52,7 @@ def test_against_brute_force(docs_of, seed):
     want = brute(rows, length)
     assert run(docs_of(rows), length, anchor=anchor) == want
     assert run(docs_of(rows), length, anchor=anchor, hot=3) == want
+    assert run(docs_of(rows), length, anchor=anchor, hot=1) == want
 
 
 def test_kept_bytes_and_spans_rebuild_the_text(docs_of):
