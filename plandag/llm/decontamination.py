@@ -1,15 +1,19 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words of documents and benchmark items are compared lower-cased. Seeds, SEED words in a row, that a document shares with an item make the
-pair a candidate if they could cover enough of the item, each seed counted as often as it stands in the item. For a candidate, Karp-Rabin runs find the longest stretches of
-unmarked words that both have; the longest are marked, without overlap, and the search is repeated until none of SEED words is left.
+pair a candidate if they could cover enough of the item, each seed counted as often as it stands in the item. For a candidate, Karp-Rabin runs
+find the longest stretches of unmarked words that both have; the longest are marked, without overlap, and the search is repeated until none of
+SEED words is left. Of equally long ones, the first in the order of their distance, then of the document, is marked first.
 The share of the item's words that is marked is the coverage: reordered passages reach it as well as unbroken ones.
+An item of fewer than SEED words is its own seed: it is covered where all of it stands in a row, and not otherwise.
 
 The benchmark is taken in blocks of at most about BLOCK_CHARS characters, each broadcast and held against all documents, so what is
 broadcast has a bound whatever the benchmark's size. Documents aren't shuffled.
 
-Null texts count as empty and match nothing. Items of fewer than SEED words can't be told from chance and match nothing. Items that repeat
-an item_id or a text are matched one by one; rows that repeat a doc_id likewise.
+Null texts count as empty; they, and items without words, match nothing. Long and repetitive texts are tiled whole; of their common stretches only
+the ends are held, PLACES pairs of places at a time. Items that repeat an item_id or a text are matched one by one; rows that repeat a doc_id
+likewise. No documents or no items: no leaks. report() leaves columns besides doc_id and text aside, drop_contaminated() keeps them, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -24,16 +28,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plandag.llm.shared import fresh, materialize, row_key
-from plandag.llm.textkit import blocks, grams, word_hashes, words
+from plandag.llm.textkit import blocks, grams, mix, word_hashes, words
 
 SEED, COVER, BLOCK_CHARS = 4, 0.5, 8_000_000
 #: Pairs of places that are held at once in the search for common stretches.
 PLACES = 1 << 20
 
 
+def seed_size(item: np.ndarray) -> int:
+    return min(SEED, max(1, len(item)))
+
+
+def seeds_of(hashes: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of so many words in a row, others for each size, and where they begin."""
+    value, at = grams(hashes, row, size)
+    return mix(value + np.uint64(size)), at
+
+
 @dataclass
 class Items:
-    """ids, and the word hashes of each; sorted seeds, with the items that have each (postings from bounds[k] to bounds[k + 1]), and how often."""
+    """ids, and the word hashes of each; sorted seeds, with the items that have each (postings from bounds[k] to bounds[k + 1]), and how often;
+    the fewest seeds that a candidate shares with each, and the seeds' numbers of words."""
 
     ids: list[int | None]
     hashes: list[np.ndarray]
@@ -42,6 +57,7 @@ class Items:
     postings: np.ndarray
     times: np.ndarray
     least: np.ndarray
+    sizes: list[int]
 
     @classmethod
     def build(cls, ids: list[int | None], texts: list[str | None], cover: float) -> Items:
@@ -49,7 +65,7 @@ class Items:
         for block in blocks(pa.array(texts, pa.string()), lower=True):
             found = words(block)
             own += np.split(word_hashes(block, found), found.first[1:-1])
-        pairs = [np.unique(grams(h, np.zeros(len(h), np.int64), SEED)[0], return_counts=True) for h in own]
+        pairs = [np.unique(seeds_of(h, np.zeros(len(h), np.int64), seed_size(h))[0], return_counts=True) for h in own]
         seeds = np.concatenate([np.zeros(0, np.uint64), *(p for p, _ in pairs)])
         times = np.concatenate([np.zeros(0, np.int64), *(n for _, n in pairs)])
         item = np.repeat(np.arange(len(own)), [len(p) for p, _ in pairs])
@@ -57,7 +73,7 @@ class Items:
         seeds, first = np.unique(seeds[order], return_index=True)
         # Tiles of SEED words cover most for their number of seed places; a seed that repeats in the item has several.
         least = np.array([max(1, -(-int(np.ceil(cover * len(h) - 1e-9)) // SEED)) for h in own], np.int64)
-        return cls(ids, own, seeds, np.append(first, len(item)), item[order], times[order], least)
+        return cls(ids, own, seeds, np.append(first, len(item)), item[order], times[order], least, sorted({seed_size(h) for h in own if len(h)}))
 
 
 def matches(doc: np.ndarray, item: np.ndarray, doc_free: np.ndarray, item_free: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,10 +130,13 @@ def leaks(texts: pa.Array, items: Items, cover: float = COVER) -> list[tuple[int
     for block in blocks(texts, lower=True):
         found = words(block)
         hashes = word_hashes(block, found)
-        seed, at = grams(hashes, found.row, SEED)
-        k = np.minimum(np.searchsorted(items.seeds, seed), len(items.seeds) - 1)
-        hit = items.seeds[k] == seed
-        met = np.unique(found.row[at[hit]] * np.int64(len(items.seeds)) + k[hit])  # seeds of each row, once
+        met = []
+        for size in items.sizes:
+            seed, at = seeds_of(hashes, found.row, size)
+            k = np.minimum(np.searchsorted(items.seeds, seed), len(items.seeds) - 1)
+            hit = items.seeds[k] == seed
+            met.append(np.unique(found.row[at[hit]] * np.int64(len(items.seeds)) + k[hit]))  # seeds of each row, once
+        met = np.concatenate(met)
         row, k = np.divmod(met, len(items.seeds))
         times = items.bounds[k + 1] - items.bounds[k]
         posting = np.repeat(items.bounds[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -125,7 +144,7 @@ def leaks(texts: pa.Array, items: Items, cover: float = COVER) -> list[tuple[int
         seeds = np.bincount(which, items.times[posting], len(pair))
         for p in pair[seeds >= items.least[pair % len(items.ids)]]:
             r, i = divmod(int(p), len(items.ids))
-            tiles = tile(hashes[found.first[r] : found.first[r + 1]], items.hashes[i])
+            tiles = tile(hashes[found.first[r] : found.first[r + 1]], items.hashes[i], seed_size(items.hashes[i]))
             if sum(t[2] for t in tiles) >= cover * len(items.hashes[i]):
                 out.append((block.first + r, i, tiles))
     return out
@@ -155,7 +174,8 @@ def _pairs(docs: DataFrame, items: Items, cover: float) -> tuple[DataFrame, Broa
             n = [len(held.value.hashes[i]) for _, i, _ in got]
             cols = [[held.value.ids[i] for _, i, _ in got], [sum(x) / m for x, m in zip(tiles, n, strict=True)], [len(x) for x in tiles], [max(x) for x in tiles], n]
             kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.record_batch([batch["doc_id"].take(rows), batch["text_hash"].take(rows), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], [x.split()[0] for x in PAIRS.split(", ")])
+            told = [pa.array(x, t) for x, t in zip(cols, kinds, strict=True)]
+            yield pa.record_batch([batch["doc_id"].take(rows), batch["text_hash"].take(rows), *told], [x.split()[0] for x in PAIRS.split(", ")])
 
     return docs.select("doc_id", "text", text_hash(docs).alias("text_hash")).mapInArrow(run, PAIRS), held
 
@@ -188,7 +208,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVE
         leaking = all_pairs(docs, benchmark, cover, block_chars).select(row_key(F.col("doc_id"), F.col("text_hash")).alias("key")).distinct()
         name = fresh("__key", docs)
         own = docs.withColumn(name, row_key(docs["doc_id"], text_hash(docs)))
-        return own.join(leaking.select(F.col("key").alias(name)).hint("shuffle_hash"), name, "left_anti").select(*docs.columns)
+        return own.join(leaking.select(F.col("key").alias(name)), name, "left_anti").select(*docs.columns)
     held = docs.sparkSession.sparkContext.broadcast(next(in_blocks(benchmark, cover, block_chars)))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -99,6 +99,45 @@ def test_planted(docs_of, bench, block_chars):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4] and kept.columns == docs_of([], True).columns
 
 
+def test_items_of_a_few_words(docs_of, spark):
+    items = spark.createDataFrame([(1, "Paris"), (2, "the answer"), (3, "yes yes yes"), (4, "!?"), (5, "a b c d")], "item_id long, text string")
+    texts = ["in paris, once", "the the answer", "answer the", "yes yes no yes", "no yes YES yes", "a b c", "x a b c d", "parisian"]
+    got = sorted((r.doc_id, r.item_id, r.coverage) for r in op.report(docs_of(list(enumerate(texts))), items).collect())
+    assert got == [(0, 1, 1.0), (1, 2, 1.0), (4, 3, 1.0), (6, 5, 1.0)]
+
+
+def test_repetitive_texts_take_bounded_memory():
+    import tracemalloc
+
+    doc, item = np.ones(20_000, np.uint64), np.ones(2_000, np.uint64)
+    tracemalloc.start()
+    assert sum(t[2] for t in op.tile(doc, item)) == 2_000
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_query_on_repetitive_and_long_documents(spark, tmp_path):
+    """Every pair is tiled plainly; no screen."""
+    r = random.Random(5)
+    items = [*REPETITIVE[:4], *(prose(f"q{k}", r.randrange(3, 30)) for k in range(8)), "yes no", None, ""]
+    texts = [" ".join([prose(k, r.randrange(40)), r.choice(items) or "", prose(-k, r.randrange(40)), " ".join((r.choice(items) or "").split()[: r.randrange(1, 60)])]) for k in range(40)]
+    texts += [f"{prose('long', 4000)} {items[5]} {prose('more', 1500)}", "yes " * 3500, None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(x.doc_id, x.item_id): x.coverage for x in op9_decontamination(spark, str(tmp_path)).collect()}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            w, v = words(item), words(text)
+            if not w or len(w) * len(v) > 300_000:
+                continue
+            covered = plain_tiling(v, w, min(op.SEED, len(w))) / len(w)
+            # Of equally long tiles, one choice may leave room for more than another.
+            assert ((d, i) in got) == (covered >= op.COVER) or len(set(w)) < len(w), (d, i)
+            if len(set(w)) == len(w):
+                assert got.get((d, i), covered) == pytest.approx(covered)
+    assert (40, 5) in got
+
+
 @pytest.mark.parametrize("clashes", [False, True])
 def test_odd_rows(docs_of, odd, bench, spark, clashes):
     df = docs_of(odd, clashes)
