@@ -4,10 +4,13 @@ A known word scores the log of its share of the words of each language. An unsee
 of the greatest length of which the model knows any, down to single characters; a word none of whose characters is known says nothing.
 A text's score is the posterior of the best language when the mean of its words' scores counts as WORDS words of evidence.
 
-Learned from documents with a language outside the held-out fold, at most about PER_LANGUAGE of each language, chosen by a hash of the id.
-The model holds at most TOP words and TOP n-grams of each length for each language, fewer if that would be over CELLS scores of a length. Texts are lower-cased; words are runs of letters.
+Learned from documents with a language outside the held-out fold: at most about PER_LANGUAGE of each language and SAMPLE in all, chosen by a hash
+of the id. All their words and n-grams are known, those seen once too; the sample alone bounds the model. It is held sparsely, an entry for each
+language that has a word or n-gram, so its size doesn't grow with their product. Texts are lower-cased; words are runs of letters.
 
-Null texts and such without a letter are "und" with score 0, and so is every text if nothing could be learned. Equal scores go to the language that sorts first.
+Null and empty texts, and such without a letter, are "und" with score 0, and so is every text if nothing could be learned (no documents, say).
+Long texts are read whole, in pieces cut between words. Equal scores go to the language that sorts first. Rows that repeat an id or a text are
+judged one by one. Columns besides doc_id, text and lang are left aside, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +28,9 @@ from pyspark.sql.window import Window
 from plandag.llm.quality import fold
 from plandag.llm.textkit import BASE, U, mix, prefix_hash, span_hash
 
-PER_LANGUAGE, TOP, CELLS, LONGEST, WORDS = 4000, 40_000, 16_000_000, 5, 8
-#: Code points worked on at once; longer texts are cut between words.
-CHARS = 1 << 18
+PER_LANGUAGE, SAMPLE, LONGEST, WORDS = 4000, 64_000, 5, 8
+#: Code points worked on at once (longer texts are cut between words), and scores of all languages.
+CHARS, SCORES = 1 << 18, 1 << 24
 MARK = 1
 
 _letters: np.ndarray | None = None
@@ -127,41 +130,70 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     h, back = np.unique(h, return_inverse=True)
                     out.append((n, h, np.bincount(back, times[owner], len(h)).astype(np.int64)))
                 for n, h, t in out:
-                    yield pa.record_batch([pa.array([lang] * len(h)), pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array(t.astype(np.int64))], ["lang", "n", "hash", "count"])
+                    columns = [pa.array([lang] * len(h), pa.string()), pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array(t.astype(np.int64))]
+                    yield pa.record_batch(columns, ["lang", "n", "hash", "count"])
 
 
 @dataclass
-class Model:
-    """For words (0) and each n: sorted hashes, and a row of log shares for each."""
-
-    languages: list[str]
-    hashes: list[np.ndarray]
-    logs: list[np.ndarray]
+class Level:
+    """Words, or n-grams of one length: sorted hashes, the languages of each (from bounds[k] to bounds[k + 1]), and what its log share there is above
+    the floor, the log share of what a language doesn't have."""
 
-    def look_up(self, n: int, hashes: np.ndarray) -> np.ndarray:
+    hashes: np.ndarray
+    bounds: np.ndarray
+    language: np.ndarray
+    above: np.ndarray
+    floor: float
+
+    @classmethod
+    def build(cls, hashes: np.ndarray, language: np.ndarray, count: np.ndarray, languages: int) -> Level:
+        order = np.lexsort((language, hashes))
+        hashes, language, count = hashes[order], language[order], count[order]
+        whole = np.maximum(np.bincount(language, count, languages), 1)
+        least = 0.5 / whole.max()  # one floor for all languages: else what is unseen speaks for the smallest of them
+        known, first = np.unique(hashes, return_index=True)
+        above = np.log(count / whole[language] + least) - np.log(least)
+        return cls(known, np.append(first, len(hashes)), language.astype(np.int32), above.astype(np.float32), float(np.log(least)))
+
+    def look_up(self, hashes: np.ndarray) -> np.ndarray:
         """Index of each hash, -1 if it is unknown."""
-        known = self.hashes[n]
-        if not len(known):
+        if not len(self.hashes):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        return np.where(known[at] == hashes, at, -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def sums(self, at: np.ndarray, row: np.ndarray, rows: int, languages: int) -> np.ndarray:
+        """For each row and language, the sum of what the entries are above the floor."""
+        times = self.bounds[at + 1] - self.bounds[at]
+        entry = np.repeat(self.bounds[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        cell = np.repeat(row, times) * languages + self.language[entry]
+        return np.bincount(cell, self.above[entry], rows * languages).reshape(rows, languages)
+
+
+@dataclass
+class Model:
+    """levels: words (0), then n-grams by n."""
+
+    languages: list[str]
+    levels: list[Level]
 
     def word_scores(self, found: Words) -> tuple[np.ndarray, np.ndarray]:
         """A row of logs for each distinct word, and whether it says anything."""
-        out = np.zeros((len(found.hashes), len(self.languages)))
-        at = self.look_up(0, found.hashes)
+        n_words, languages = len(found.hashes), len(self.languages)
+        at = self.levels[0].look_up(found.hashes)
         told = at >= 0
-        out[told] = self.logs[0][at[told]]
+        known = np.flatnonzero(told)
+        out = self.levels[0].sums(at[known], known, n_words, languages) + self.levels[0].floor
         for n in range(LONGEST, 0, -1):
             left = np.flatnonzero(~told)
             if not len(left):
                 break
             h, owner = ngrams(found, left, n)
-            at = self.look_up(n, h)
+            at = self.levels[n].look_up(h)
             hit = at >= 0
             times = np.bincount(owner[hit], minlength=len(left))
-            for k in range(len(self.languages)):
-                out[left, k] = np.bincount(owner[hit], self.logs[n][at[hit], k], len(left)) / np.maximum(times, 1)
+            mean = self.levels[n].sums(at[hit], owner[hit], len(left), languages) / np.maximum(times, 1)[:, None]
+            out[left] = mean + self.levels[n].floor
             told[left[times > 0]] = True
         return out, told
 
@@ -169,6 +201,7 @@ class Model:
         rows = len(texts)
         if not self.languages or not rows:
             return ["und"] * rows, np.zeros(rows)
+        size = max(1, min(size, SCORES // len(self.languages)))
         has, n, total = np.zeros(rows, bool), np.zeros(rows, np.int64), np.zeros((rows, len(self.languages)))
         for of, own in blocks(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, size):
             found, of = split(own), np.array(of)
@@ -187,33 +220,21 @@ class Model:
         return [self.languages[k] if ok else "und" for k, ok in zip(best, has, strict=True)], np.where(has, p, 0.0)
 
 
-def learn(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE, top: int = TOP) -> Model:
-    """What reaches the driver is bounded by CELLS and LONGEST."""
+def learn(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
+    """What reaches the driver are the counts of the sample, summed up."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn_from)
-    share = {r.lang: min(1.0, per_language / r.n) for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages = sorted(share)
+    size = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted(size)
     if not languages:
-        return Model([], [], [])
-    top = max(1, min(top, CELLS // len(languages) ** 2))
-    of = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(share[lang]))])[F.col("lang")]
+        return Model([], [])
+    most = min(per_language, sample / len(languages))
+    of = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, most / size[lang])))])[F.col("lang")]
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    counts = own.where(chance < of).select("lang", "text").mapInArrow(_counts, "lang string, n int, hash long, count long").groupBy("lang", "n", "hash").agg(F.sum("count").alias("count"))
-    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "hash"))
-    told = counts.withColumn("whole", F.sum("count").over(Window.partitionBy("lang", "n"))).withColumn("rank", rank).where((F.col("rank") <= top) & ((F.col("n") > 0) | (F.col("count") > 1))).toArrow()
-    lang = np.searchsorted(languages, told["lang"].to_pylist())
-    n, h, count, whole = (told[c].to_numpy() for c in ("n", "hash", "count", "whole"))
-    hashes, logs = [], []
-    for k in range(LONGEST + 1):
-        of_k = n == k
-        known, back = np.unique(h[of_k].view(U), return_inverse=True)
-        table = np.zeros((len(known), len(languages)))
-        all_of = np.ones(len(languages))
-        all_of[lang[of_k]] = whole[of_k]
-        table[back, lang[of_k]] = count[of_k]
-        hashes.append(known)
-        # One floor for all languages: else what is unseen speaks for the smallest of them.
-        logs.append(np.log(table / all_of + 0.5 / all_of.max()).astype(np.float32))
-    return Model(languages, hashes, logs)
+    counts = own.where(chance < of).select("lang", "text").mapInArrow(_counts, "lang string, n int, hash long, count long")
+    told = counts.groupBy("lang", "n", "hash").agg(F.sum("count").alias("count")).toArrow()
+    lang = np.searchsorted(languages, told["lang"].to_pylist()) if told.num_rows else np.zeros(0, np.int64)
+    n, h, count = (told[c].to_numpy() for c in ("n", "hash", "count"))
+    return Model(languages, [Level.build(h[n == k].view(U), lang[n == k], count[n == k], len(languages)) for k in range(LONGEST + 1)])
 
 
 def outside_fold(doc_id: Column) -> Column:
