@@ -1,12 +1,15 @@
 """Licence scan by a positional rare-token index, in DataFrame operations only.
 
-Fixed phrases give the base labels wherever their words stand consecutively. Beside them the method finds whole notices: each of a file's
-licence words is looked up in the postings of the notices' words of the highest IDF (over all documents); hits that
-agree on the notice's position in the file are one placement, whose score is the IDF it covers of what the index has of that
-notice; a placement counts if it covers COVER or more and the notice's key phrases stand in the file.
-
-Null texts count as empty: no words, no labels, score 0. Rows that repeat a doc_id are scanned one by one. Columns besides doc_id and
-text are left aside.
+Fixed phrases give the base labels wherever their words stand consecutively. Beside them the method finds whole notices: all of a file's
+licence words are looked up in the postings of the notices' words (those of the notices but for FUNCTION_WORDS, which are common anywhere),
+each weighed by its IDF over all documents. Hits that put the notice at about the same place of the file are one placement: words put in or left
+out may shift them against each other by SLACK / 2 words, and by less than SLACK in any case. Its score is the IDF of the notice's places
+that it covers, each once, against that of all of them. A placement counts if it covers COVER or more and the notice's key phrases stand in
+the file.
+
+Null and empty texts have no words, no labels and score 0. Long texts are read whole. Labels are sorted; of several placements the best one gives the
+score. Rows that repeat a doc_id are scanned one by one. No documents: no rows. Columns besides doc_id and text are left aside, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -33,6 +36,27 @@ NOTICES = [
     ("lgpl", "under the terms of the GNU Lesser General Public License", ["lesser general public license"]),
     ("agpl-3.0", "under the terms of the GNU Affero General Public License", ["affero general public license"]),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ["mozilla public license"]),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        ["permission is hereby granted"],
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies.",
+        ["permission to use copy modify"],
+    ),
+    (
+        "bsd",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+        ["redistributions of source code", "redistributions in binary form"],
+    ),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ["redistribution and use"]),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify"]),
     ("cc-by-4.0", "Licensed under CC BY 4.0", ["cc by 4 0"]),
@@ -44,9 +68,12 @@ NOTICES = [
     ("unlicense", "This is free and unencumbered software released into the public domain", ["unencumbered software"]),
 ]
 #: Words of notices that are no licence words.
-FUNCTION_WORDS = frozenset("a an and any are at by except file for form forms free in into is it may not of on or person possible purpose that the this to under use with without you".split())
-#: Rarest words of a notice that the index holds, and the least share covered.
-INDEXED, COVER = 6, 0.7
+FUNCTION_WORDS = frozenset(
+    "a above all an and any are at by do except file following for form forms free in include included including into is it list may must not notice of on or "
+    "other person persons possible purpose shall so subject that the this to under use whom with without you".split()
+)
+#: Words by which hits of one placement may be shifted, and the least share covered.
+SLACK, COVER = 8, 0.7
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,10 +104,13 @@ def read_words(docs: DataFrame) -> DataFrame:
     w = F.col("words")
     hits = F.filter(F.transform(w, lambda x, k: F.when(x.isin(vocabulary), F.struct(x.alias("word"), k.alias("at")))), lambda v: v.isNotNull())
     hits = F.when(F.arrays_overlap(w, F.array(*map(F.lit, vocabulary))), hits).otherwise(F.array().cast("array<struct<word:string,at:int>>"))
-    df = df.select("doc_id", F.size(w).cast("long").alias("n_words"), *[places(w, p).alias(f"p{k}") for k, p in enumerate(PHRASES)], hits.alias("hits"), F.when(F.size(hits) > 0, F.array_join(w, " ")).alias("line"))
+    places_of = [places(w, p).alias(f"p{k}") for k, p in enumerate(PHRASES)]
+    df = df.select("doc_id", F.size(w).cast("long").alias("n_words"), *places_of, hits.alias("hits"), F.when(F.size(hits) > 0, F.array_join(w, " ")).alias("line"))
     line = F.concat(F.lit(" "), "line", F.lit(" "))
-    held = F.when(F.col("line").isNotNull(), F.array_compact(F.array(*[F.when(line.contains(f" {k} "), F.lit(k)) for k in keys]))).otherwise(F.array().cast("array<string>"))
-    return materialize(df.select("doc_id", "n_words", *[f"p{k}" for k in range(len(PHRASES))], "hits", held.alias("keys"), F.monotonically_increasing_id().alias("row")), "licence-words")
+    held = F.array_compact(F.array(*[F.when(line.contains(f" {k} "), F.lit(k)) for k in keys]))
+    held = F.when(F.col("line").isNotNull(), held).otherwise(F.array().cast("array<string>"))
+    columns = ["doc_id", "n_words", *[f"p{k}" for k in range(len(PHRASES))], "hits"]
+    return materialize(df.select(*columns, held.alias("keys"), F.monotonically_increasing_id().alias("row")), "licence-words")
 
 
 def rows(spark, names: str, values: list[tuple]) -> DataFrame:
@@ -99,20 +129,20 @@ def notices_found(read: DataFrame) -> DataFrame:
     weigh = lambda w: round(math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1, 9)
     postings, wholes = [], []
     for k, (label, text, phrases) in enumerate(NOTICES):
-        own: dict[str, int] = {}
-        for at, w in enumerate(notice_words(text)):
-            if w not in FUNCTION_WORDS:
-                own.setdefault(w, at)
-        held = sorted(own, key=lambda w: (-weigh(w), w))[:INDEXED]
-        postings += [(w, weigh(w), k, own[w]) for w in held]
-        wholes.append((k, label, sum(map(weigh, held)), phrases))
+        held = [(w, at) for at, w in enumerate(notice_words(text)) if w not in FUNCTION_WORDS]
+        postings += [(w, weigh(w), k, at) for w, at in held]
+        wholes.append((k, label, sum(weigh(w) for w, _ in held), phrases))
     index = F.broadcast(rows(spark, "word, idf, notice, place", postings))
-    whole = F.broadcast(rows(spark, "notice, label, whole", [x[:3] for x in wholes]).join(rows(spark, "notice, phrase", [(k, p) for k, *_, ps in wholes for p in ps]).groupBy("notice").agg(F.collect_list("phrase").alias("phrases")), "notice"))
-    # The index has at most INDEXED words of each notice, so all of a file's words are looked up.
-    met = hits.join(index, "word")
-    placed = met.groupBy("row", "notice", (F.col("at") - F.col("place")).alias("start")).agg(F.sum("idf").alias("covered"))
+    phrases = rows(spark, "notice, phrase", [(k, p) for k, *_, ps in wholes for p in ps]).groupBy("notice").agg(F.collect_list("phrase").alias("phrases"))
+    whole = F.broadcast(rows(spark, "notice, label, whole", [x[:3] for x in wholes]).join(phrases, "notice"))
+    start = F.col("at") - F.col("place")
+    # Two rows of boxes, one half a box further on: starts that are half a box apart fall into one box of either.
+    box = lambda shift: F.struct(F.lit(shift).alias("shift"), F.floor((start + shift) / SLACK).alias("box"))
+    met = hits.join(index, "word").select("row", "notice", "place", "idf", F.explode(F.array(box(0), box(SLACK // 2))).alias("at"))
+    places = F.array_sort(F.collect_set(F.struct("place", "idf")))
+    placed = met.groupBy("row", "notice", "at").agg(F.aggregate(places, F.lit(0.0), lambda total, x: total + x["idf"]).alias("covered"))
     best = placed.groupBy("row", "notice").agg(F.max("covered").alias("covered")).join(whole, "notice")
-    best = best.where(F.col("covered") >= COVER * F.col("whole")).join(read.select("row", "keys"), "row").where(F.size(F.array_except("phrases", "keys")) == 0)
+    best = best.where(F.col("covered") >= COVER * F.col("whole") - 1e-9).join(read.select("row", "keys"), "row").where(F.size(F.array_except("phrases", "keys")) == 0)
     return best.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.least(F.lit(1.0), F.col("covered") / F.col("whole"))).alias("score"))
 
 

@@ -1,4 +1,7 @@
+import math
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -48,6 +51,60 @@ def test_a_file_of_all_notices_has_all_labels(docs_of):
     assert {label for label, *_ in op.NOTICES} <= got[1] & got[2]
 
 
+def all_labels(texts):
+    """(labels, score) of each text, by trying every box of every notice."""
+    split = [words(t) for t in texts]
+    df = Counter(w for ws in split for w in set(ws))
+    weigh = lambda w: math.log((len(texts) + 1) / (df[w] + 1)) + 1
+    out = []
+    for ws, text in zip(split, texts, strict=True):
+        labels, score = set(filter(None, brute(text)[4].split(","))), 1.0 if brute(text)[1] else 0.0
+        found = []
+        for label, notice, keys in op.NOTICES:
+            own = [(w, k) for k, w in enumerate(words(notice)) if w not in op.FUNCTION_WORDS]
+            boxes = {}
+            for at, w in enumerate(ws):
+                for x, place in own:
+                    if x == w:
+                        for shift in (0, op.SLACK // 2):
+                            boxes.setdefault((shift, (at - place + shift) // op.SLACK), {})[place] = weigh(w)
+            share = max((sum(b.values()) for b in boxes.values()), default=0) / sum(weigh(w) for w, _ in own)
+            if share >= op.COVER - 1e-9 and all(f" {k} " in f" {' '.join(ws)} " for k in keys):
+                labels.add(label)
+                found.append(min(1.0, share))
+        out.append((",".join(sorted(labels)), max(found, default=score)))
+    return out
+
+
+def test_query_equals_a_plain_version(spark, tmp_path):
+    r = random.Random(6)
+
+    def spoiled(notice):
+        w = notice.split()
+        for _ in range(r.randrange(4)):
+            k = r.randrange(len(w))
+            w[k : k + r.randrange(2)] = r.choice([[], ["really"], ["the", "said"], ["license"]])
+        return " ".join(w)
+
+    texts = [None, "", *CASES[2:6]]
+    for k in range(150):
+        some = [spoiled(r.choice(op.NOTICES)[1]) for _ in range(r.randrange(4))]
+        texts.append(" ".join([prose(k, r.randrange(30)), *(x for t in some for x in (t, prose(t, r.randrange(12))))]))
+    texts.append(" ".join(f"{text} {prose(k, 700)}" for k, (_, text, _) in enumerate(op.NOTICES * 3)))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = all_labels(texts)
+    assert len({labels for labels, _ in want}) > 20 and any(0.7 < score < 1 for _, score in want)
+    for x in op7_licenses(spark, str(tmp_path)).collect():
+        assert (x.labels, pytest.approx(x.score, abs=1e-6)) == want[x.doc_id], texts[x.doc_id]
+
+
+def test_words_put_in_do_not_split_a_notice(docs_of):
+    texts = {k: t.split() for k, (_, t, _) in enumerate(op.NOTICES) if len(t.split()) > 12}
+    rows = [(k, " ".join([*w[: len(w) // 2], "so", "to", "say", *w[len(w) // 2 :]])) for k, w in texts.items()]
+    got = {r.doc_id: r.labels.split(",") for r in op.scan(docs_of([*rows, *((100 + k, prose(k, 50)) for k in range(30))])).collect()}
+    assert all(op.NOTICES[k][0] in got[k] for k in texts)
+
+
 def test_scattered_words_and_missing_key_phrases_are_no_notice(docs_of):
     scattered = f"apache {prose(1, 30)} licensed {prose(2, 30)} license {prose(3, 9)} version 0 2"
     rows = [(1, scattered), (2, "licensed under the apache permission license version 2 0"), *((k, prose(k, 50)) for k in range(3, 30))]
