@@ -9,6 +9,8 @@ Both sides are summed up by digest before they meet, so a group of copies is one
 
 Null and empty texts are equal. Of equal texts the row with the smallest doc_id stays; null doc_ids lose against any other.
 Rows that repeat a doc_id with an equal text are equal rows: report() marks each of them as kept, drop_copies() returns one of them.
+Long texts are hashed whole. No documents: no rows. report() leaves columns besides doc_id and text aside, drop_copies() keeps them, whatever
+their names.
 """
 
 from __future__ import annotations

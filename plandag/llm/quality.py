@@ -3,8 +3,10 @@
 The trees are fitted on the driver over a bounded sample of labelled documents (SAMPLE rows, by a hash of the id) and flattened
 into arrays: node k of a tree has the children 2k + 1 and 2k + 2. Scoring walks all trees of a batch with one gather a level.
 
-Null and empty texts have statistics of zeros and are scored like any other. Labels with a null quality, a null doc_id or no
-document are left out; documents with several labels count once for each. Without labels every score is 0.5.
+Null and empty texts have statistics of zeros and are scored like any other. Long texts are described whole. Labels with a null quality, a null
+doc_id or no document are left out; documents with several labels, and rows that repeat a doc_id, count once for each. Of cuts that gain equally, the
+first feature's lowest one is taken; labels beyond the sample are left in the order of the ids' hashes. Without labels every score is 0.5; no
+documents: no rows. score() leaves columns besides doc_id and text aside, keep_good() keeps them, whatever their names.
 """
 
 from __future__ import annotations
