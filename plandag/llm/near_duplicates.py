@@ -4,9 +4,10 @@
 2. MinHash LSH forest: a signature has DEPTH values for each of TREES tries. A trie is kept as its sorted signatures: rows are dealt out by
    the shortest prefix that is ever matched and sorted by what follows it, a byte a level. Matched prefixes are shortened level by level,
    from DEPTH to the length at which a pair at the threshold meets in some trie with TARGET_RECALL or more.
-3. On each level the members of a trie's node are held against the node's smallest one by their sketches (one byte for each value of the
-   signature). What agrees in COVERS is covered by it and isn't taken along to shorter prefixes; the rest goes on. So a representative's
-   prefix is shortened until something covers it, or to the end. Of all that cover it in some trie, the smallest is its cover.
+3. On each level but the last, members of a trie's node that agree with its smallest one in TWINS are its twins: their prefixes aren't shortened
+   further, it goes on for them. So of nearly equal texts, however many, few reach the shortest prefix. There, from the smallest on, each member
+   that nothing covers yet covers what agrees with it in COVERS. Of all that cover a representative in some trie, the smallest is its
+   cover; being the smallest, it is the same for most of a dense group.
 4. By the triangle inequality, a partner of what a cover stands for agrees with the cover itself to an extent that follows from the threshold.
    In each node, all members are held against all covers of the node's members: a cover with what it stands for and what is so close
    to it is a canopy. Every partner of a covered representative is in its cover's canopy, and canopies don't chain: what is far from a cover
@@ -38,8 +39,9 @@ from plandag.llm.textkit import U, Block, binary_rows, blocks, grams, mix, per_r
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET_RECALL = 24, 7, 0.9999
-#: Sketches that agree in COVERS cover each other; DEVIATIONS is how far a sketch may be off the similarity it stands for.
-COVERS, DEVIATIONS = 0.8, 3.0
+#: Sketches that agree in COVERS cover each other, and such that agree in TWINS share a cover; DEVIATIONS is how far a sketch may be off the
+#: similarity it stands for.
+COVERS, TWINS, DEVIATIONS = 0.8, 0.97, 3.0
 #: Members of a node in one task, and documents and shingles of a canopy in one block.
 BUCKET_ROWS, CELL_ROWS, CELL_SHINGLES = 4096, 512, 1_000_000
 #: Pairs of sketches that are held against each other at once.
@@ -56,11 +58,16 @@ def prefix_length(threshold: float, recall: float = TARGET_RECALL) -> int:
     return depth
 
 
+def least_similarity(agreement: float, width: int) -> float:
+    """The least similarity that sketches which agree so far can stand for, at DEVIATIONS."""
+    z = DEVIATIONS**2 / width
+    return (agreement + z / 2 - math.sqrt(z * agreement * (1 - agreement) + z * z / 4)) / (1 + z)
+
+
 def least_agreement(threshold: float, width: int = TREES * DEPTH) -> float:
-    """The share of its values in which a sketch agrees, at DEVIATIONS, with that of a cover of its partner."""
+    """The share of its values in which a sketch agrees, at DEVIATIONS, with that of a cover of its partner, or of a cover of its partner's twin."""
     z = DEVIATIONS**2 / width
-    equal = (COVERS + z / 2 - math.sqrt(z * COVERS * (1 - COVERS) + z * z / 4)) / (1 + z)  # the least similarity that COVERS can mean
-    partner = max(0.0, threshold - (1 - equal))
+    partner = max(0.0, threshold - (1 - least_similarity(COVERS, width)) - (1 - least_similarity(TWINS, width)))
     return max(0.0, partner - math.sqrt(z * partner * (1 - partner)))
 
 
@@ -159,24 +166,42 @@ def heads(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def alike(cell: np.ndarray, rep: np.ndarray, sketch: np.ndarray, members: np.ndarray, least: float, once: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Members that agree with the smallest one of their cell, and those smallest ones; if not once, the same for what is left, until nothing is."""
+    found, by = [members[:0]], [members[:0]]
+    while len(members):
+        at = heads(cell)
+        size = np.diff(np.append(at, len(members)))
+        smallest = np.repeat(np.minimum.reduceat(rep[members], at), size)
+        pivot = np.repeat(members[rep[members] == smallest], size)
+        other = members != pivot
+        members, pivot, cell = members[other], pivot[other], cell[other]
+        near = agreement(sketch[members], sketch[pivot]) >= least
+        found.append(members[near])
+        by.append(pivot[near])
+        members, cell = members[~near], cell[~near]
+        if once:
+            break
+    return np.concatenate(found), np.concatenate(by)
+
+
 def cover(cell: np.ndarray, path: np.ndarray, rep: np.ndarray, sketch: np.ndarray, levels: int) -> np.ndarray:
     """The index of what covers each member, or its own. Members are sorted by cell and path; all nodes of a level are taken at once."""
     every = np.arange(len(rep))
-    by = every.copy()
-    for level in range(levels + 1):
-        left = every[by == every]  # matched prefixes get shorter: only what nothing covers is taken along
-        prefix = path >> (8 * level)
-        while len(left):
-            at = heads(cell[left], prefix[left])
-            size = np.diff(np.append(at, len(left)))
-            least = np.repeat(np.minimum.reduceat(rep[left], at), size)
-            pivot = np.repeat(left[rep[left] == least], size)
-            many = (np.repeat(size, size) > 1) & (left != pivot)
-            left, pivot = left[many], pivot[many]
-            alike = agreement(sketch[left], sketch[pivot]) >= COVERS
-            by[left[alike]] = pivot[alike]
-            left = left[~alike]
-    return by
+    twin = every.copy()
+    for level in range(levels):  # matched prefixes get shorter
+        left = every[twin == every]
+        node = np.zeros(len(left), np.int64)
+        node[heads(cell[left], path[left] >> (8 * level))[1:]] = 1
+        found, by = alike(np.cumsum(node), rep, sketch, left, TWINS, True)
+        twin[found] = by
+    for _ in range(levels):  # a twin's twin
+        twin = twin[twin]
+    left = every[twin == every]
+    found, by = alike(cell[left], rep, sketch, left, COVERS, False)
+    out = every.copy()
+    out[found] = by
+    return out[twin]
 
 
 def _cover(levels: int):
