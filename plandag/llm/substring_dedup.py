@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from plandag.llm.shared import drop_table, materialize
 from plandag.llm.textkit import BLOCK, Block, U, blocks, mix, powers, prefix_hash, span_hash, whole_groups
 
-LENGTH, ANCHOR, HOT = 400, 64, 512
+#: HOT occurrences take about 400 MB in the task that sorts them.
+LENGTH, ANCHOR, HOT = 400, 64, 8192
 LOW = U(0xFFFFFFFF)
 
 
