@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from plandag.functions.predicate import compile_predicates
 from plandag.operators import joins, subqueries
 from plandag.operators.basic import block_filter, filter_rows, union
 from plandag.operators.tail import tail
@@ -15,6 +14,7 @@ def run_stage(stage: Stage, inputs: list[DataFrame]) -> DataFrame:
     """Combines the inputs as the kind says, then groups, projects, filters groups, orders and limits."""
     kind = stage.kind
     frames = [df.alias(name.rpartition(":")[2]) for df, name in zip(inputs, stage.inputs, strict=True)]
+    right_name = stage.inputs[-1].rpartition(":")[2]
     if kind in ("FULL_SCAN", "INDEX_SCAN", "AGGREGATION", "FILTER"):
         df = filter_rows(frames[0], stage.where)
     elif kind == "INDEX_TABLE_SCAN":
@@ -28,11 +28,11 @@ def run_stage(stage: Stage, inputs: list[DataFrame]) -> DataFrame:
     elif kind == "EXIST":
         df = filter_rows(subqueries.any_row(*frames, stage.on, stage.negate), stage.where)
     elif kind == "DEPENDENCY_EXIST":
-        df = filter_rows(joins.join(*frames, stage.on, "left_anti" if stage.negate else "left_semi"), stage.where)
+        df = filter_rows(subqueries.exists(*frames, stage.on, right_name, stage.negate), stage.where)
     elif kind == "DEPENDENCY_IN":
-        df = filter_rows(subqueries.correlated_membership(*frames, *stage.compare, compile_predicates(stage.on), stage.negate), stage.where)
+        df = filter_rows(subqueries.correlated_membership(*frames, *stage.compare, stage.on, right_name, stage.negate), stage.where)
     elif kind == "DEPENDENCY_INNER_JOIN":
-        df = filter_rows(subqueries.scalar_compare(*frames, stage.compare, stage.scalar, stage.on, stage.inputs[1].rpartition(":")[2]), stage.where)
+        df = filter_rows(subqueries.scalar_compare(*frames, stage.compare, stage.scalar, stage.on, right_name), stage.where)
     else:
         df = block_filter(frames[0], stage.where, stage.mask)
     return tail(df, stage)

@@ -5,11 +5,14 @@ NOT IN keeps SQL's meaning of NULL but is spelled as hash anti-joins: a null-awa
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plandag.functions.expr import compile_expr
-from plandag.functions.predicate import COMPARE, compile_predicates, equal_pairs
+from plandag.functions.predicate import COMPARE, Pred, compile_predicates, equal_pairs
 from plandag.plans.stage import Proj
 
 
@@ -34,14 +37,67 @@ def any_row(left: DataFrame, right: DataFrame, where: object, negate: bool) -> D
     return left.join(F.broadcast(one), F.lit(True), "left_anti" if negate else "left_semi")
 
 
-def correlated_membership(left: DataFrame, right: DataFrame, value: object, member: object, correlated: Column, negate: bool) -> DataFrame:
+def correlated_membership(left: DataFrame, right: DataFrame, value: object, member: object, on: object, right_name: str, negate: bool) -> DataFrame:
     """left rows whose value is (not) among the members of the right rows that satisfy the correlation."""
     x, y = compile_expr(value), compile_expr(member)
+    correlated = compile_predicates(on)
     if not negate:
         return left.join(right, (x == y) & correlated, "left_semi")
-    known = left.where(x.isNotNull()).join(right, (x == y) & correlated, "left_anti")
-    known = known.join(right.where(y.isNull()), correlated, "left_anti")
-    return known.unionAll(left.where(x.isNull()).join(right, correlated, "left_anti"))
+    may_be_null = lambda df, c: df.select(c).schema[0].nullable
+    out = left.where(x.isNotNull()).join(right, (x == y) & correlated, "left_anti")
+    if may_be_null(right, y):
+        out = exists(out, right.where(y.isNull()), on, right_name, True)
+    if may_be_null(left, x):
+        out = out.unionAll(exists(left.where(x.isNull()), right, on, right_name, True))
+    return out
+
+
+FLIPPED = {"LT": "GT", "LE": "GE", "GT": "LT", "GE": "LE", "EQ": "EQ"}
+
+
+def sides(on: object, own: Callable[[str], bool]) -> tuple[list, list[tuple[object, object]], list[tuple[object, str, object]]] | None:
+    """A condition that is nothing but comparisons joined by AND, taken apart: those of right columns alone, the pairs (left, right) that must
+    be equal, and the inequalities as (left, op, right). None if it is anything else."""
+    alone, pairs, ordered = [], [], []
+    for item in [on] if isinstance(on, Pred) else list(on or []):
+        if isinstance(item, str) and item.upper() == "AND":
+            continue
+        if not isinstance(item, Pred):
+            return None
+        of = [{own(n) for n in _names(x)} for x in (item.lv, item.rv)]
+        if of[0] | of[1] == {True}:
+            alone.append(item)
+        elif item.op in FLIPPED and of in ([{False}, {True}], [{True}, {False}]):
+            lv, op, rv = (item.lv, item.op, item.rv) if of[1] == {True} else (item.rv, FLIPPED[item.op], item.lv)
+            if op == "EQ":
+                pairs.append((lv, rv))
+            else:
+                ordered.append((lv, op, rv))
+        else:
+            return None
+    return alone, pairs, ordered
+
+
+def exists(left: DataFrame, right: DataFrame, on: object, right_name: str, negate: bool) -> DataFrame:
+    """left rows for which some right row (negate: none) satisfies the condition.
+
+    One inequality beside any number of equalities holds for some right row if it holds for the largest or smallest one of its key: right is
+    summed up to that, so no pairs of rows are tried. Other conditions are left to Catalyst.
+    """
+    how = "left_anti" if negate else "left_semi"
+    parts = sides(on, lambda name: name.startswith(f"{right_name}.") or ("." not in name and name in right.columns))
+    if parts is None or len(parts[2]) != 1:
+        return left.join(right, compile_predicates(on), how)
+    alone, pairs, [(value, op, bound)] = parts
+    if alone:
+        right = right.where(compile_predicates(alone))
+    most = (F.max if op in ("LT", "LE") else F.min)(compile_expr(bound)).alias("__bound")
+    if not pairs:
+        found = F.coalesce(COMPARE[op](compile_expr(value), right.select(most).scalar()), F.lit(False))
+        return left.where(~found if negate else found)
+    sub = right.groupBy(*[compile_expr(b).alias(f"__k{k}") for k, (_, b) in enumerate(pairs)]).agg(most)
+    same = [compile_expr(a) == F.col(f"__k{k}") for k, (a, _) in enumerate(pairs)]
+    return left.join(sub, reduce(lambda a, b: a & b, [*same, COMPARE[op](compile_expr(value), F.col("__bound"))]), how)
 
 
 def aggregate(how: str, expr: object) -> Column:

@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 from typing import NamedTuple
 
-from plandag.functions.expr import Tok
+from plandag.functions.expr import LITERAL_TYPES, Tok
 from plandag.functions.predicate import Pred
 
 
@@ -32,6 +32,11 @@ KINDS = {
 }
 
 
+def is_kind(x: object) -> bool:
+    """Whether a token can be of this kind."""
+    return isinstance(x, str) and (x in ("COLUMN", "OPERATOR", "CAST", *LITERAL_TYPES) or x.startswith("DECIMAL("))
+
+
 @dataclass(frozen=True)
 class Stage:
     """inputs: tables or aliases of earlier stages. on: condition of a join, a correlation or a membership.
@@ -80,13 +85,17 @@ class Stage:
 
     @staticmethod
     def from_json(text: str) -> Stage:
-        """Tokens are ``["COLUMN", "x"]`` pairs, predicates ``{"lv":, "op":, "rv":}``, connectors plain strings."""
+        """Tokens are ``["COLUMN", "x"]`` pairs of a known kind, or ``{"kind":, "value":}``; predicates ``{"lv":, "op":, "rv":}``, connectors plain strings.
+        What BETWEEN, IN and NOTIN compare with is a list of operands, whatever it looks like."""
 
         def read(x: object) -> object:
+            if isinstance(x, dict) and "kind" in x:
+                return Tok(x["kind"], x["value"])
             if isinstance(x, dict):
-                return Pred(read(x["lv"]), x["op"], read(x.get("rv")))
+                several = x["op"] in ("BETWEEN", "IN", "NOTIN")
+                return Pred(read(x["lv"]), x["op"], [read(y) for y in x["rv"]] if several else read(x.get("rv")))
             if isinstance(x, list):
-                return Tok(*x) if len(x) == 2 and isinstance(x[0], str) and x[0].isupper() and not isinstance(x[1], (list, dict)) else [read(y) for y in x]
+                return Tok(*x) if len(x) == 2 and is_kind(x[0]) and not isinstance(x[1], (list, dict)) else [read(y) for y in x]
             return x
 
         d = json.loads(text)

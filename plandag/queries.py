@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plandag.functions.expr import c, cast, date, dbl, dec, i, op, s
+from plandag.functions.expr import Tok, c, cast, date, dbl, dec, i, op, s
 from plandag.functions.predicate import Pred
 from plandag.operators.placement import best_replicas
 from plandag.plans.pipeline import Pipeline
@@ -185,11 +185,18 @@ PLANS: dict[str, tuple[list[Stage], str]] = {
     ),
     "join_three_way": (
         [
-            Stage("INNER_JOIN", ("customer", "orders"), "co", on=Pred("c_custkey", "EQ", "o_custkey"), project=cols("c_nationkey", "o_orderkey")),
-            Stage("INNER_JOIN", ("co", "lineitem"), "col", on=Pred("o_orderkey", "EQ", "l_orderkey"), project=cols("c_nationkey", "l_suppkey", "l_extendedprice", "l_discount")),
-            Stage("INNER_JOIN", ("col", "supplier"), "cols", on=[Pred("l_suppkey", "EQ", "s_suppkey"), "AND", Pred("c_nationkey", "EQ", "s_nationkey")], project=cols("s_nationkey", "l_extendedprice", "l_discount")),
             Stage("INNER_JOIN", ("nation", "region"), "nr", on=Pred("n_regionkey", "EQ", "r_regionkey"), where=Pred("r_name", "EQ", s("ASIA")), project=cols("n_nationkey", "n_name")),
-            Stage("INNER_JOIN", ("cols", "nr"), "sums", on=Pred("s_nationkey", "EQ", "n_nationkey"), group_by=("n_name",), project=(*cols("n_name"), total("revenue", *EXACT_DISCOUNTED))),
+            Stage("INNER_JOIN", ("supplier", "nr"), "sn", on=Pred("s_nationkey", "EQ", "n_nationkey"), project=cols("s_suppkey", "s_nationkey", "n_name")),
+            Stage("INNER_JOIN", ("lineitem", "sn"), "ls", on=Pred("l_suppkey", "EQ", "s_suppkey"), project=cols("l_orderkey", "s_nationkey", "n_name", "l_extendedprice", "l_discount")),
+            Stage("INNER_JOIN", ("customer", "orders"), "co", on=Pred("c_custkey", "EQ", "o_custkey"), project=cols("c_nationkey", "o_orderkey")),
+            Stage(
+                "INNER_JOIN",
+                ("ls", "co"),
+                "sums",
+                on=[Pred("l_orderkey", "EQ", "o_orderkey"), "AND", Pred("s_nationkey", "EQ", "c_nationkey")],
+                group_by=("n_name",),
+                project=(*cols("n_name"), total("revenue", *EXACT_DISCOUNTED)),
+            ),
             Stage("AGGREGATION", ("sums",), "out", project=(*cols("n_name"), Proj("revenue", [c("revenue"), cast("decimal(38,4)")]))),
         ],
         "SELECT n.n_name, CAST(SUM(CAST(l.l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l.l_discount AS DECIMAL(15,2)))) AS DECIMAL(38,4)) AS revenue FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name = 'ASIA' GROUP BY n.n_name",
@@ -233,6 +240,75 @@ PLANS: dict[str, tuple[list[Stage], str]] = {
         [Stage("DEPENDENCY_IN", ("customer", "supplier"), "out", compare=("c_nationkey", "s_nationkey"), on=Pred("s_acctbal", "GT", "c_acctbal"), negate=True, project=cols("c_custkey"))],
         "SELECT c_custkey FROM customer c WHERE c.c_nationkey NOT IN (SELECT s.s_nationkey FROM supplier s WHERE s.s_acctbal > c.c_acctbal)",
     ),
+    "exists_theta": (
+        [Stage("DEPENDENCY_EXIST", ("customer", "supplier"), "out", on=Pred("s_acctbal", "LT", "c_acctbal"), project=cols("c_custkey"))],
+        "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM supplier s WHERE s.s_acctbal < c.c_acctbal)",
+    ),
+    "not_exists_key_and_theta": (
+        [
+            Stage(
+                "DEPENDENCY_EXIST",
+                ("customer", "supplier"),
+                "out",
+                on=[Pred("s_nationkey", "EQ", "c_nationkey"), "AND", Pred("s_acctbal", "GE", "c_acctbal"), "AND", Pred("s_suppkey", "GT", i(10))],
+                negate=True,
+                project=cols("c_custkey"),
+            )
+        ],
+        "SELECT c_custkey FROM customer c WHERE NOT EXISTS "
+        "(SELECT 1 FROM supplier s WHERE s.s_nationkey = c.c_nationkey AND s.s_acctbal >= c.c_acctbal AND s.s_suppkey > 10)",
+    ),
+    "join_full": (
+        [Stage("FULL_OUTER_JOIN", ("supplier", "nation"), "out", on=Pred("s_suppkey", "EQ", "n_nationkey"), project=cols("s_suppkey", "n_name"))],
+        "SELECT s.s_suppkey, n.n_name FROM supplier s FULL JOIN nation n ON s.s_suppkey = n.n_nationkey",
+    ),
+    "filter_is_not_null": (
+        [
+            Stage("LEFT_OUTER_JOIN", ("supplier", "nation"), "both", on=Pred("s_suppkey", "EQ", "n_nationkey"), project=cols("s_suppkey", "n_name")),
+            Stage("FILTER", ("both",), "out", where=Pred("n_name", "ISNOT")),
+        ],
+        "SELECT s.s_suppkey, n.n_name FROM supplier s LEFT JOIN nation n ON s.s_suppkey = n.n_nationkey WHERE n.n_name IS NOT NULL",
+    ),
+    "filter_not": (
+        [
+            Stage(
+                "FULL_SCAN",
+                ("orders",),
+                "out",
+                where=["NOT", "(", Pred("o_orderpriority", "EQ", s("5-LOW")), "OR", Pred("o_totalprice", "LT", i(200000)), ")"],
+                project=cols("o_orderkey"),
+            )
+        ],
+        "SELECT o_orderkey FROM orders WHERE NOT (o_orderpriority = '5-LOW' OR o_totalprice < 200000)",
+    ),
+    "expr_trim": (
+        [
+            Stage(
+                "FULL_SCAN",
+                ("nation",),
+                "out",
+                project=tuple(Proj(f.lower(), [s("  "), c("n_name"), op("||"), s(" "), op("||"), op(f)]) for f in ("TRIM", "LTRIM", "RTRIM")),
+            )
+        ],
+        "SELECT trim('  ' || n_name || ' ') AS trim, ltrim('  ' || n_name || ' ') AS ltrim, rtrim('  ' || n_name || ' ') AS rtrim FROM nation",
+    ),
+    "expr_literals": (
+        [
+            Stage(
+                "FULL_SCAN",
+                ("region",),
+                "out",
+                project=(
+                    *cols("r_name"),
+                    Proj("t", Tok("TIMESTAMP", "2024-02-29 12:34:56")),
+                    Proj("yes", Tok("BOOLEAN", "true")),
+                    Proj("tiny", [Tok("INT8", 7), INT]),
+                    Proj("small", [Tok("INT16", -300), INT]),
+                ),
+            )
+        ],
+        "SELECT r_name, TIMESTAMP '2024-02-29 12:34:56' AS t, TRUE AS yes, 7 AS tiny, -300 AS small FROM region",
+    ),
     "union_all": (
         [Stage("FULL_SCAN", ("supplier",), "a", project=(Proj("k", "s_nationkey"),)), Stage("FULL_SCAN", ("customer",), "b", project=(Proj("k", "c_nationkey"),)), Stage("UNION", ("a", "b"), "out")],
         "SELECT s_nationkey AS k FROM supplier UNION ALL SELECT c_nationkey AS k FROM customer",
@@ -248,7 +324,7 @@ PLANS: dict[str, tuple[list[Stage], str]] = {
     "q11_shape": (
         [
             Stage("AGGREGATION", ("lineitem",), "by_supplier", group_by=("l_suppkey",), project=(*cols("l_suppkey"), total("v", c("l_extendedprice"), MONEY))),
-            Stage("AGGREGATION", ("lineitem",), "whole", project=(total("all_v", c("l_extendedprice"), MONEY),)),
+            Stage("AGGREGATION", ("by_supplier",), "whole", project=(total("all_v", c("v")),)),
             Stage("INNER_JOIN", ("by_supplier", "whole"), "both", on=Pred("v", "GT", [c("all_v"), dec("0.0105", 10, 4), op("*")]), project=(Proj("l_suppkey", "l_suppkey"), Proj("v", [c("v"), WIDE]))),
         ],
         "SELECT l_suppkey, CAST(SUM(CAST(l_extendedprice AS DECIMAL(15,2))) AS DECIMAL(38,2)) AS v FROM lineitem GROUP BY l_suppkey HAVING SUM(CAST(l_extendedprice AS DECIMAL(15,2))) > (SELECT SUM(CAST(l_extendedprice AS DECIMAL(15,2))) * CAST(0.0105 AS DECIMAL(10,4)) FROM lineitem)",
@@ -282,6 +358,13 @@ def wal_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay(orders, "o_orderkey", orders.where("o_orderkey % 10 = 0"), orders.where("o_orderkey % 100 = 0"))
 
 
+def scan_file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of the listed files of a table: here all that there are, by name."""
+    cat = Catalog(spark, sf_dir)
+    files = [path.rpartition("/")[2] for path in cat.metadata("part")["files"]]
+    return cat.subset("part", files).select("p_partkey", "p_name")
+
+
 def placement_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as files, the suppliers of their nation as nodes; large accounts have one replica."""
     cat = Catalog(spark, sf_dir)
@@ -305,11 +388,12 @@ SELECT file, node, score FROM scored QUALIFY row_number() OVER (PARTITION BY fil
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run_plan(name) for name in PLANS} | {"wal_overlay": wal_overlay, "placement_ranking": placement_ranking}
+    return {name: run_plan(name) for name in PLANS} | {"wal_overlay": wal_overlay, "scan_file_list": scan_file_list, "placement_ranking": placement_ranking}
 
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in PLANS.items()} | {
         "wal_overlay": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 10 <> 0 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 100 = 0",
+        "scan_file_list": "SELECT p_partkey, p_name FROM part",
         "placement_ranking": PLACEMENT_SQL,
     }

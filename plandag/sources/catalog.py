@@ -33,6 +33,16 @@ class Catalog:
             self.tables[name] = self.spark.read.format(fmt).options(**options).load(f"{self.root}/{name}.{fmt}")
         return self.tables[name]
 
+    def subset(self, name: str, files: list[str], fmt: str = "parquet", **options: str) -> DataFrame:
+        """The rows of some of a table's files: paths, or names within ``root/name.fmt``. Its columns are those of the whole table."""
+        whole = self.table(name, fmt, **options)
+        known = {path: path for path in whole.inputFiles()} | {path.rpartition("/")[2]: path for path in whole.inputFiles()}
+        if unknown := [f for f in files if f not in known]:
+            raise ValueError(f"{name} has no such files: {unknown}")
+        if not files:
+            return whole.limit(0)
+        return self.spark.read.format(fmt).options(**options).schema(whole.schema).load([known[f] for f in files])
+
     def register(self, name: str, df: DataFrame) -> None:
         self.tables[name] = df
 

@@ -19,9 +19,10 @@ class QuerySession:
     catalog: Catalog
     pipelines: dict[int, Pipeline] = field(default_factory=dict)
     last: dict[int, str] = field(default_factory=dict)
+    count_rows: bool = False
 
     def submit(self, query: int, stage: Stage) -> None:
-        self.pipelines.setdefault(query, Pipeline(self.catalog)).submit(stage)
+        self.pipelines.setdefault(query, Pipeline(self.catalog, count_rows=self.count_rows)).submit(stage)
         self.last[query] = stage.alias
 
     def result(self, query: int) -> DataFrame:
@@ -29,6 +30,10 @@ class QuerySession:
             raise StageError(f"query {query} has no stages")
         return self.pipelines[query].bound[self.last[query]]
 
+    def counts(self, query: int) -> dict[str, dict[str, int]]:
+        """Rows scanned and kept by each stage, once the result has been read; the session must have been made with count_rows."""
+        return self.pipelines[query].counts()
+
     def end(self, query: int) -> None:
         self.last.pop(query, None)
         if query in self.pipelines:

@@ -51,6 +51,87 @@ def test_correlated_not_in(cat, members, want):
     assert ks(cat, Stage("DEPENDENCY_IN", ("a", members), "o", compare=("a.k", f"{members}.k"), on=Pred(f"{members}.w", "GT", i(5)), negate=True, project=(Proj("k", "a.k"),))) == want
 
 
+def pairs_of(cat, left, right):
+    return [tuple(r) for r in cat.table(left).collect()], [tuple(r) for r in cat.table(right).collect()]
+
+
+HOLDS = {"LT": lambda a, b: a < b, "LE": lambda a, b: a <= b, "GT": lambda a, b: a > b, "GE": lambda a, b: a >= b}
+
+
+@pytest.mark.parametrize("op_", HOLDS)
+@pytest.mark.parametrize("negate", [False, True])
+@pytest.mark.parametrize(("keyed", "flipped"), [(False, False), (True, True)])
+def test_exists_with_an_inequality(cat, spark, op_, negate, keyed, flipped):
+    cat.register("l", spark.createDataFrame([(1, 5, 0), (1, 10, 1), (2, 5, 2), (None, 5, 3), (1, None, 4), (3, 12, 5)], "k bigint, x int, id int"))
+    cat.register("r", spark.createDataFrame([(1, 10), (1, 7), (2, None), (None, 5), (3, 12)], "k bigint, y int"))
+    on = [Pred("l.x", op_, "r.y") if not flipped else Pred("r.y", {"LT": "GT", "GT": "LT", "LE": "GE", "GE": "LE"}[op_], "l.x")]
+    on += ["AND", Pred("l.k", "EQ", "r.k"), "AND", Pred("r.y", "GT", i(6))] if keyed else []
+    left, right = pairs_of(cat, "l", "r")
+    hit = lambda k, x: any(None not in (x, y) and HOLDS[op_](x, y) and (not keyed or (k is not None and k == j and y > 6)) for j, y in right)
+    got = run(cat, Stage("DEPENDENCY_EXIST", ("l", "r"), "o", on=on, negate=negate, project=(Proj("id", "l.id"),)))
+    assert got == [(n,) for k, x, n in left if hit(k, x) != negate]
+
+
+@pytest.mark.parametrize("negate", [False, True])
+def test_correlated_in_with_an_inequality(cat, spark, negate):
+    cat.register("l", spark.createDataFrame([(1, 5, 0), (1, 10, 1), (2, 5, 2), (None, 5, 3), (None, 50, 4), (3, None, 5), (4, 0, 6)], "k bigint, x int, id int"))
+    cat.register("r", spark.createDataFrame([(1, 10), (2, 4), (None, 6), (3, 12)], "k bigint, y int"))
+    left, right = pairs_of(cat, "l", "r")
+
+    def member(k, x):
+        seen = [j for j, y in right if None not in (x, y) and y > x]
+        if not seen:
+            return False
+        return True if k is not None and k in seen else None if k is None or None in seen else False
+
+    got = run(cat, Stage("DEPENDENCY_IN", ("l", "r"), "o", compare=("l.k", "r.k"), on=Pred("r.y", "GT", "l.x"), negate=negate, project=(Proj("id", "l.id"),)))
+    assert got == [(n,) for k, x, n in left if member(k, x) is (not negate)]
+
+
+@pytest.mark.parametrize("name", ["corr_not_in", "exists_theta", "not_exists_key_and_theta"])
+def test_one_inequality_tries_no_pairs(spark, name):
+    from plandag import queries
+
+    plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_results_are_whole(spark):
+    df = spark.range(25_000).selectExpr("id", "id % 7 as m")
+    assert len(sinks.columns(df)["id"]) == 25_000 and len(sinks.columns(df, 10)["id"]) == 10
+    parts = list(sinks.column_batches(df, 4000))
+    assert [len(p["m"]) for p in parts] == [4000] * 6 + [1000] and sorted(x for p in parts for x in p["id"]) == list(range(25_000))
+    assert len(sinks.box(df.limit(1500)).split("\n")) == 1504
+    assert sinks.box(df.limit(3), 2).split("\n")[-1] == "(the first 2 rows; there are more)" and "more" not in sinks.box(df.limit(2), 2)
+
+
+def test_rows_are_counted(cat):
+    session = QuerySession(cat, count_rows=True)
+    session.submit(1, Stage("FULL_SCAN", ("b",), "some", where=Pred("w", "GT", i(10))))
+    session.submit(1, Stage("LEFT_OUTER_JOIN", ("a", "some"), "o", on=Pred("a.k", "EQ", "some.k"), project=(Proj("k", "a.k"), Proj("w", "some.w"))))
+    assert len(session.result(1).collect()) == 4
+    assert session.counts(1) == {"some": {"scanned": 3, "kept": 2}, "o": {"scanned": 4, "kept": 4}}
+
+
+def test_file_lists(spark, tmp_path):
+    spark.range(100).repartition(4).write.parquet(f"{tmp_path}/t.parquet")
+    cat = Catalog(spark, str(tmp_path))
+    files = [f.rpartition("/")[2] for f in cat.metadata("t")["files"]]
+    assert len(files) == 4
+    some = [cat.subset("t", files[:k]).count() for k in range(5)]
+    assert some[0] == 0 < some[1] < some[2] < some[4] == 100 and cat.subset("t", cat.metadata("t")["files"][:1]).count() == some[1]
+    with pytest.raises(ValueError):
+        cat.subset("t", ["other"])
+
+
+def test_json_operands_are_no_tokens(cat, spark):
+    cat.register("u", spark.createDataFrame([(1, 0, 2), (5, 0, 2)], "A int, COLUMN int, B int"))
+    text = '{"kind": "FILTER", "inputs": ["u"], "alias": "o", "where": [{"lv": "A", "op": "BETWEEN", "rv": ["COLUMN", "B"]}]}'
+    assert run(cat, Stage.from_json(text)) == [(1, 0, 2)]
+    text = '{"kind": "FILTER", "inputs": ["u"], "alias": "o", "where": [{"lv": {"kind": "COLUMN", "value": "A"}, "op": "IN", "rv": [["INT32", 5], {"kind": "INT32", "value": 6}]}]}'
+    assert run(cat, Stage.from_json(text)) == [(5, 0, 2)]
+
+
 @pytest.mark.parametrize(("negate", "members", "n"), [(False, "b", 4), (True, "b", 0), (False, "empty", 0), (True, "empty", 4)])
 def test_uncorrelated_exists(cat, negate, members, n):
     assert len(run(cat, Stage("EXIST", ("a", members), "o", negate=negate))) == n
