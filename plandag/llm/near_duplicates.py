@@ -6,9 +6,11 @@
    from DEPTH to the length at which a pair at the threshold meets in some trie with TARGET_RECALL or more.
 3. On each level but the last, members of a trie's node that agree with its smallest one in TWINS are its twins: their prefixes aren't shortened
    further, it goes on for them. So of nearly equal texts, however many, few reach the shortest prefix. There, from the smallest on, each member
-   that nothing covers yet covers what agrees with it in COVERS. Of all that cover a representative in some trie, the smallest is its
+   that nothing covers yet covers what agrees with it in COVERS: far less than the threshold, since copies of one text that each differ a little
+   from it differ more from each other. Of all that cover a representative in some trie, the smallest is its
    cover; being the smallest, it is the same for most of a dense group.
-4. By the triangle inequality, a partner of what a cover stands for agrees with the cover itself to an extent that follows from the threshold.
+4. By the triangle inequality, a partner of what a cover stands for agrees with the cover itself to an extent that follows from the threshold and
+   from how far the cover is from what it stands for.
    In each node, all members are held against all covers of the node's members: a cover with what it stands for and what is so close
    to it is a canopy. Every partner of a covered representative is in its cover's canopy, and canopies don't chain: what is far from a cover
    isn't in its canopy, however many links lead there.
@@ -41,9 +43,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET_RECALL = 24, 7, 0.9999
 #: Sketches that agree in COVERS cover each other, and such that agree in TWINS share a cover; DEVIATIONS is how far a sketch may be off the
 #: similarity it stands for.
-COVERS, TWINS, DEVIATIONS = 0.8, 0.97, 3.0
+COVERS, TWINS, DEVIATIONS = 0.4, 0.97, 3.0
 #: Members of a node in one task, and documents and shingles of a canopy in one block.
-BUCKET_ROWS, CELL_ROWS, CELL_SHINGLES = 4096, 512, 1_000_000
+BUCKET_ROWS, CELL_ROWS, CELL_SHINGLES = 1024, 512, 1_000_000
 #: Pairs of sketches that are held against each other at once.
 PAIRS = 1 << 15
 
@@ -58,17 +60,17 @@ def prefix_length(threshold: float, recall: float = TARGET_RECALL) -> int:
     return depth
 
 
-def least_similarity(agreement: float, width: int) -> float:
+def least_similarity(agreed: np.ndarray, width: int = TREES * DEPTH) -> np.ndarray:
     """The least similarity that sketches which agree so far can stand for, at DEVIATIONS."""
     z = DEVIATIONS**2 / width
-    return (agreement + z / 2 - math.sqrt(z * agreement * (1 - agreement) + z * z / 4)) / (1 + z)
+    return np.maximum(0.0, (agreed + z / 2 - np.sqrt(z * agreed * (1 - agreed) + z * z / 4)) / (1 + z))
 
 
-def least_agreement(threshold: float, width: int = TREES * DEPTH) -> float:
-    """The share of its values in which a sketch agrees, at DEVIATIONS, with that of a cover of its partner, or of a cover of its partner's twin."""
+def least_agreement(threshold: float, agreed: np.ndarray, width: int = TREES * DEPTH) -> np.ndarray:
+    """The share of its values in which a sketch agrees, at DEVIATIONS, with that of a cover of its partner; agreed: how far the partner's does."""
     z = DEVIATIONS**2 / width
-    partner = max(0.0, threshold - (1 - least_similarity(COVERS, width)) - (1 - least_similarity(TWINS, width)))
-    return max(0.0, partner - math.sqrt(z * partner * (1 - partner)))
+    partner = np.maximum(0.0, threshold - (1 - np.where(agreed >= 1, 1.0, least_similarity(agreed, width))))
+    return np.maximum(0.0, partner - np.sqrt(z * partner * (1 - partner)))
 
 
 def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,20 +209,22 @@ def cover(cell: np.ndarray, path: np.ndarray, rep: np.ndarray, sketch: np.ndarra
 def _cover(levels: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell"):
-            rep = table["rep"].to_numpy()
-            by = cover(table["cell"].to_numpy(), table["path"].to_numpy(), rep, rows_of(table["sketch"], np.uint8, TREES * DEPTH), levels)
+            rep, sketch = table["rep"].to_numpy(), rows_of(table["sketch"], np.uint8, TREES * DEPTH)
+            by = cover(table["cell"].to_numpy(), table["path"].to_numpy(), rep, sketch, levels)
             told = np.flatnonzero(by != np.arange(len(by)))
-            yield pa.record_batch([pa.array(rep[told]), pa.array(rep[by[told]])], ["rep", "cover"])
+            agreed = agreement(sketch[told], sketch[by[told]])
+            yield pa.record_batch([pa.array(rep[told]), pa.array(rep[by[told]]), pa.array(agreed)], ["rep", "cover", "agreed"])
 
     return run
 
 
-def _near(least: float):
+def _near(threshold: float):
     """Members of a cell (covers first) that are close enough to a cover that isn't their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell"):
             cell, member, rep, own = (table[c].to_numpy() for c in ("cell", "member", "rep", "cover"))
+            least = least_agreement(threshold, table["agreed"].to_numpy())
             sketch = rows_of(table["sketch"], np.uint8, TREES * DEPTH)
             first = heads(cell)
             end = np.append(first[1:], len(cell))
@@ -235,7 +239,7 @@ def _near(least: float):
                 b = np.repeat(start[part], t) + np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
                 other = own[b] != rep[a]
                 a, b = a[other], b[other]
-                near = agreement(sketch[a], sketch[b]) >= least
+                near = agreement(sketch[a], sketch[b]) >= least[a]
                 yield pa.record_batch([pa.array(rep[a[near]]), pa.array(rep[b[near]])], ["canopy", "rep"])
 
     return run
@@ -320,20 +324,21 @@ def _verify(threshold: float):
     return run
 
 
-def _block(member: str, n: str, salt: int = 0) -> Column:
-    return F.pmod(F.xxhash64(member, F.lit(salt)), n).cast("int")
+def _block(member: str, n: str, salt: Column) -> Column:
+    return F.pmod(F.xxhash64(member, salt), n).cast("int")
 
 
-def canopies(reps: DataFrame, short: int, least: float, bucket_rows: int) -> DataFrame:
+def canopies(reps: DataFrame, threshold: float, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """reps: (rep, keys, sketch). (canopy, rep, chosen): the members of canopies of several, and whether the canopy is that of their cover."""
+    short = prefix_length(threshold)
     paths = reps.select("rep", "keys", "sketch").mapInArrow(_paths(short), "node long, path long, rep long")
     shared = materialize(paths.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "nodes")
     met = materialize(paths.join(shared, "node"), "members")
     sketches = reps.select("rep", "sketch")
     blocked = met.withColumn("blocks", F.ceil(F.col("members") / bucket_rows).cast("int"))
-    tries = blocked.join(sketches, "rep").select(F.xxhash64("node", _block("rep", "blocks")).alias("cell"), "path", "rep", "sketch")
-    found = tries.repartition("cell").sortWithinPartitions("cell", "path").mapInArrow(_cover(DEPTH - short), "rep long, cover long")
-    found = materialize(found.groupBy("rep").agg(F.min("cover").alias("cover")), "covers")
+    tries = blocked.join(sketches, "rep").select(F.xxhash64("node", _block("rep", "blocks", F.col("node"))).alias("cell"), "path", "rep", "sketch")
+    found = tries.repartition("cell").sortWithinPartitions("cell", "path").mapInArrow(_cover(DEPTH - short), "rep long, cover long, agreed double")
+    found = materialize(found.groupBy("rep").agg(F.min(F.struct("cover", "agreed")).alias("x")).select("rep", "x.cover", "x.agreed"), "covers")
 
     own = materialize(met.select("node", "rep").join(found, "rep", "left").select("node", "rep", F.coalesce("cover", "rep").alias("cover")), "covered")
     # Where all members have the same cover, nothing is to be found.
@@ -342,13 +347,16 @@ def canopies(reps: DataFrame, short: int, least: float, bucket_rows: int) -> Dat
     covers = materialize(own.join(several, "node").select("node", "cover").distinct(), "node-covers")
     sizes = several.join(covers.groupBy("node").agg(F.count(F.lit(1)).alias("covers")), "node")
     sizes = sizes.select("node", *[F.ceil(F.col(c) / bucket_rows).cast("int").alias(b) for c, b in (("members", "mb"), ("covers", "cb"))])
-    side = lambda df, mine, theirs, member: df.select(
-        F.xxhash64("node", *([_block("rep", mine), "other"] if member else ["other", _block("rep", mine)])).alias("cell"), F.lit(member).cast("int").alias("member"), "rep", "cover", "sketch")
+    block = lambda n: _block("rep", n, F.col("node"))
+    side = lambda df, mine, member: df.select(
+        F.xxhash64("node", *([block(mine), "other"] if member else ["other", block(mine)])).alias("cell"), F.lit(member).cast("int").alias("member"), "rep", "cover", F.col("agreed") if not member else F.lit(1.0).alias("agreed"), "sketch")
     opened = own.join(sizes, "node").join(sketches, "rep")
-    members = side(opened.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cb") - 1))), "mb", "cb", True)
-    held = covers.select("node", F.col("cover").alias("rep"), "cover").join(sizes, "node").join(sketches, "rep")
-    held = side(held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))), "cb", "mb", False)
-    near = members.unionAll(held).repartition("cell").sortWithinPartitions("cell", "member").mapInArrow(_near(least), "canopy long, rep long")
+    members = side(opened.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cb") - 1))), "mb", True)
+    reach = found.groupBy("cover").agg(F.min("agreed").alias("agreed"))  # of what is farthest from it; a cover of itself alone has none
+    held = covers.join(reach, "cover", "left").select("node", F.col("cover").alias("rep"), "cover", F.coalesce("agreed", F.lit(1.0)).alias("agreed"))
+    held = held.join(sizes, "node").join(sketches, "rep")
+    held = side(held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))), "cb", False)
+    near = members.unionAll(held).repartition("cell").sortWithinPartitions("cell", "member").mapInArrow(_near(threshold), "canopy long, rep long")
     loose = near.distinct().select("canopy", "rep", F.lit(False).alias("chosen"))
     every = materialize(own.select(F.col("cover").alias("canopy"), "rep", F.lit(True).alias("chosen")).distinct().unionAll(loose), "canopies")
     many = every.groupBy("canopy").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("canopy")
@@ -368,7 +376,7 @@ def verified(texts: DataFrame, reps: DataFrame, member: DataFrame, threshold: fl
     sized = member.join(reps.select("rep", "n", "copies"), "rep")
     need = lambda which: F.greatest(F.ceil(F.sum(F.when(which, F.col("n"))) / cell_shingles), F.ceil(F.count_if(which) / cell_rows), F.lit(1)).cast("int")
     parts = sized.groupBy("canopy").agg(need(F.col("chosen")).alias("cb"), need(F.lit(True)).alias("hb"))
-    placed = sized.drop("n").join(parts, "canopy").withColumns({"c": _block("rep", "cb", 1), "h": _block("rep", "hb", 2)})
+    placed = sized.drop("n").join(parts, "canopy").withColumns({"c": _block("rep", "cb", F.lit(1)), "h": _block("rep", "hb", F.lit(2))})
     # As held against: with all blocks of the chosen ones. As chosen: with all blocks, the one where it is held against is that row already.
     held = F.transform(F.sequence(F.lit(0), F.col("cb") - 1), lambda i: F.struct(i.alias("i"), F.col("h").alias("j"), (F.col("chosen") & (i == F.col("c"))).alias("chosen"), F.lit(True).alias("held")))
     chosen = F.transform(F.filter(F.sequence(F.lit(0), F.col("hb") - 1), lambda j: F.col("chosen") & (j != F.col("h"))), lambda j: F.struct(F.col("c").alias("i"), j.alias("j"), F.lit(True).alias("chosen"), F.lit(False).alias("held")))
@@ -395,7 +403,7 @@ def report(
     rows = signed.select(F.col("row").alias("rep"), F.col("doc_id").alias("rep_doc"), F.col("text_hash").alias("rep_hash"), "n", "keys", "sketch")
     reps = materialize(reps.join(rows, "rep"), "representatives")
 
-    member = canopies(reps, short, least_agreement(threshold), bucket_rows)
+    member = canopies(reps, threshold, bucket_rows)
     checked = verified(texts, reps, member, threshold, cell_rows, cell_shingles)
     drop_table(member)
     counts = checked.groupBy("rep").agg(F.sum("links").alias("links"))
