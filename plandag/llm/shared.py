@@ -58,3 +58,13 @@ def rows_with_keys(docs: DataFrame, key: Column, kept: DataFrame, once: Column)
     rows = docs.withColumn(name, key).join(kept.select(F.col("key").alias(name)), name, "left_semi")
     rank = F.row_number().over(Window.partitionBy(name).orderBy(name))
     return rows.withColumn(number, F.when(once, rank).otherwise(1)).where(F.col(number) == 1).select(*docs.columns)
+
+
+def release(spark: SparkSession, *keep: DataFrame) -> None:
+    """Deletes the tables that materialize() has written in this application, but for those that keep reads: for long sessions, once results are written."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/plandag-{spark.sparkContext.applicationId}")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = {f.split("/")[-2] for df in keep for f in df.inputFiles()}
+    for status in files.listStatus(where) if files.exists(where) else []:
+        if status.getPath().getName() not in held:
+            files.delete(status.getPath(), True)

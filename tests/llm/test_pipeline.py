@@ -49,3 +49,15 @@ def test_run_is_the_stages(stages, spark):
 @pytest.mark.parametrize("step", [exact_dedup.drop_copies, near_duplicates.keep_one, mixing.sample])
 def test_empty(docs_of, step):
     assert step(docs_of([])).collect() == []
+
+
+def test_tables_are_released(spark):
+    from plandag.llm.shared import materialize, release
+
+    one, two = materialize(spark.range(5), "one"), materialize(spark.range(7), "two")
+    release(spark, two)
+    assert two.count() == 7
+    with pytest.raises(Exception, match=one.inputFiles()[0].rpartition("/")[2]):
+        one.collect()
+    release(spark)
+    release(spark)
