@@ -12,8 +12,9 @@ Targets that no weights of the observed cells can meet are never met: if a margi
 error where the caller gave the targets, and a warning where they are tempered shares.
 
 topic names a column with documents' topics. Without it a document's topic is its kind of text: the nearest of TOPICS centers in the space of
-shares of byte classes and of lengths of words and lines, found by k-means over at most SAMPLE documents, chosen by a hash of the id. These don't
-depend on the language, so that every language can have every topic. Texts without words have the topic "none".
+shares of byte classes and of lengths of words and lines, found by k-means over all documents with words. These don't depend on the language, so that
+every language can have every topic. Texts without words have the topic "none". Features are whole multiples of 1 / UNIT, so their sums are exact
+and the centers don't depend on how the documents are dealt out. They are written once; a pass of k-means sends the driver a row of sums from each task.
 
 Null languages, sources and given topics are a level of their own, "null". Empty and null texts have no tokens: they are sampled as their cell is, but
 for cells without any tokens, which are kept whole. Long texts are counted whole. Rows that repeat a doc_id share their fate. Equally near centers:
@@ -22,8 +23,10 @@ the first. No documents: no rows.
 
 from __future__ import annotations
 
+import math
+import pickle
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,19 +38,20 @@ from pyspark.sql import types as T
 
 from plandag.llm.quality import CLASSES, _class_counts
 from plandag.llm.shared import drop_table, fresh, materialize
-from plandag.llm.textkit import binary_rows, blocks, per_row, rows_of, words
+from plandag.llm.textkit import binary_rows, blocks, per_row, words
 
-TEMPER, KEEP_SHARE, TOPICS, SAMPLE = 0.7, 0.5, 8, 5000
+TEMPER, KEEP_SHARE, TOPICS, UNIT = 0.7, 0.5, 8, 1 << 16
 DRIVER_CELLS, ROUNDS, CLOSE, GAP = 50_000, 500, 1e-10, 1e-6
 DIMENSIONS = ("source", "lang", "topic")
 SEED = 20_240_501
 #: Byte classes that say what kind of text it is, but not in which language.
 KINDS = [k for k, name in enumerate(CLASSES) if name not in ("upper", "lower", "high")]
+WIDTH = len(KINDS) + 3
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Words, and a row of features, of each text."""
-    sizes, rows = [np.zeros(0, np.int64)], [np.zeros((0, len(KINDS) + 3))]
+    """Words, and a row of features (in whole UNITs), of each text."""
+    sizes, rows = [np.zeros(0, np.int64)], [np.zeros((0, WIDTH), np.int64)]
     for block in blocks(texts, lower=True):
         found = words(block)
         n = np.diff(found.first)
@@ -55,11 +59,33 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         size = np.maximum(block.ends - block.starts, 1)
         length = per_row(np.add, (found.end - found.start).astype(np.float64), found.first, 0.0) / np.maximum(n, 1)
         lines = counts[:, list(CLASSES).index("line")] + 1
-        rows.append(np.column_stack([np.sqrt(counts[:, KINDS] / size[:, None]), np.log1p(length), np.log1p(n), np.log1p(n / lines)]))
+        own = np.column_stack([np.sqrt(counts[:, KINDS] / size[:, None]), np.log1p(length), np.log1p(n), np.log1p(n / lines)])
+        rows.append(np.rint(own * UNIT).astype(np.int64))
         sizes.append(n)
     return np.concatenate(sizes), np.concatenate(rows)
 
 
+#: Given a step and a fold, a pass over all rows of features: the fold of what the step gives for parts of them, None if there are no rows.
+#: Both give arrays of one entry; the fold is given several, one after another.
+Passes = Callable[[Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray], np.ndarray]], np.ndarray | None]
+
+
+def add(told: np.ndarray) -> np.ndarray:
+    return told.sum(axis=0, keepdims=True)
+
+
+def moments(x: np.ndarray) -> np.ndarray:
+    """The number of rows; by feature the sum, and the sum of squares in two halves, so that none overflows."""
+    square = x * x
+    return np.concatenate([[len(x)], x.sum(axis=0), (square >> 21).sum(axis=0), (square & ((1 << 21) - 1)).sum(axis=0)])[None]
+
+
+def greatest(told: np.ndarray) -> np.ndarray:
+    """Of rows (score, features) the one with the greatest score; of several, that with the least features."""
+    best = told[told[:, 0] == told[:, 0].max()]
+    return best[np.lexsort(best[:, ::-1].T)[:1]]
+
+
 @dataclass
 class Topics:
     """Centers in the space of features less mean over spread."""
@@ -69,51 +95,113 @@ class Topics:
     centers: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, k: int = TOPICS, rounds: int = 50) -> Topics:
-        """k-means; each first center is the row that is furthest from those before. The largest topic comes first."""
-        mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
-        spread = np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0) if len(x) else np.ones(x.shape[1])
-        z = (x - mean) / spread
-        if not len(z):
-            return cls(mean, spread, z)
-        centers = z[[np.square(z).sum(axis=1).argmin()]]
-        while len(centers) < k and (far := np.square(z[:, None] - centers).sum(axis=2).min(axis=1)).max() > 1e-12:
-            centers = np.concatenate([centers, z[[far.argmax()]]])
-        for _ in range(rounds):
-            own = cls(mean, spread, centers).nearest(z)
-            new = np.array([z[own == c].mean(axis=0) if (own == c).any() else centers[c] for c in range(len(centers))])
-            if np.allclose(new, centers):
+    def learn(cls, passes: Passes, k: int = TOPICS) -> Topics:
+        """k-means, until the centers stay; each first center is the row that is furthest from those before. The largest topic comes first."""
+        told = passes(moments, add)
+        if told is None:
+            return cls(np.zeros(WIDTH), np.ones(WIDTH), np.zeros((0, WIDTH)))
+        n, *sums = told[0].tolist()
+        total, high, low = sums[:WIDTH], sums[WIDTH : 2 * WIDTH], sums[2 * WIDTH :]
+        varied = [n * ((h << 21) + x) - t * t for t, h, x in zip(total, high, low, strict=True)]
+        own = cls(np.array([t / n for t in total]), np.array([math.sqrt(v) / n if v else 1.0 for v in varied]), np.zeros((0, WIDTH)))
+        while len(own.centers) < k:
+            far = passes(own.furthest, greatest)
+            if len(own.centers) and far[0, 0] <= 1e-12:
                 break
-            centers = new
-        size = np.bincount(own, minlength=len(centers))
-        return cls(mean, spread, centers[np.argsort(-size, kind="stable")])
+            own = cls(own.mean, own.spread, np.concatenate([own.centers, own.placed(far[:, 1:])]))
+        while True:  # each round brings the rows nearer to their centers, so there is an end
+            size, sums = np.split(passes(own.sums, add)[0], [1], axis=1)
+            new = np.where(size > 0, own.placed(sums / np.maximum(size, 1)), own.centers)
+            if np.allclose(new, own.centers):
+                break
+            own = cls(own.mean, own.spread, new)
+        return cls(own.mean, own.spread, own.centers[np.argsort(-size[:, 0], kind="stable")])
+
+    @classmethod
+    def fit(cls, x: np.ndarray, k: int = TOPICS) -> Topics:
+        """learn, from rows at hand."""
+        return cls.learn(lambda step, fold: step(x) if len(x) else None, k)
+
+    def placed(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.spread
+
+    def distances(self, z: np.ndarray) -> np.ndarray:
+        return np.stack([np.square(z - c).sum(axis=1) for c in self.centers], axis=1)
 
     def nearest(self, z: np.ndarray) -> np.ndarray:
-        return np.stack([np.square(z - c).sum(axis=1) for c in self.centers], axis=1).argmin(axis=1)
+        return self.distances(z).argmin(axis=1)
+
+    def furthest(self, x: np.ndarray) -> np.ndarray:
+        """A step: the row that is furthest from the centers, after its distance. Without centers: the one nearest to the mean."""
+        z = self.placed(x)
+        return greatest(np.column_stack([self.distances(z).min(axis=1) if len(self.centers) else -np.square(z).sum(axis=1), x]))
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """A step: of each center's rows, the number and the sum."""
+        own = self.nearest(self.placed(x))
+        return np.array([[np.append((own == c).sum(), x[own == c].sum(axis=0)) for c in range(len(self.centers))]])
+
+    def names(self, n: np.ndarray, x: np.ndarray) -> list[str]:
+        if not len(self.centers):
+            return ["none"] * len(n)
+        return [f"topic{c}" if k else "none" for c, k in zip(self.nearest(self.placed(x)), n, strict=True)]
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, list[str]]:
         """Words, and the topic, of each text."""
         n, x = features(texts)
-        if not len(self.centers):
-            return n, ["none"] * len(n)
-        own = self.nearest((x - self.mean) / self.spread)
-        return n, [f"topic{c}" if k else "none" for c, k in zip(own, n, strict=True)]
+        return n, self.names(n, x)
 
 
-def learn_topics(docs: DataFrame, sample: int = SAMPLE) -> Topics:
-    """At most about so many documents' features reach the driver."""
-    n = docs.count()
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    # Rows that repeat a doc_id come together, so the limit is the bound.
-    chosen = docs.where(F.col("text").isNotNull() & (chance < F.lit(min(1.0, sample / max(n, 1))))).select("doc_id", "text")
+def described(docs: DataFrame) -> DataFrame:
+    """(source, lang, tokens, features) of each document."""
+    schema = T.StructType([docs.schema["source"], docs.schema["lang"], T.StructField("tokens", T.LongType()), T.StructField("features", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, x = features(batch["text"])
-            yield pa.record_batch([batch["doc_id"].filter(pa.array(n > 0)), binary_rows(x[n > 0])], ["doc_id", "features"])
+            yield pa.record_batch([batch["source"], batch["lang"], pa.array(n, pa.int64()), binary_rows(x.astype(np.int32))], ["source", "lang", "tokens", "features"])
+
+    return docs.select("source", "lang", "text").mapInArrow(run, schema)
+
+
+def features_of(column: pa.Array) -> np.ndarray:
+    """What described() has written. All values are as wide, so they are read where they lie."""
+    if not len(column):
+        return np.zeros((0, WIDTH), np.int64)
+    _, offsets, data = column.cast(pa.large_binary()).buffers()
+    first = np.frombuffer(offsets, np.int64)[column.offset]
+    return np.frombuffer(data, np.int32, len(column) * WIDTH, first).reshape(-1, WIDTH).astype(np.int64)
+
+
+def learn_topics(told: DataFrame) -> Topics:
+    """From the features of all documents with words (told, from described() and written). A task folds its rows, so the driver gets one from each."""
+    rows = told.where("tokens > 0").select("features")
+
+    def passes(step: Callable[[np.ndarray], np.ndarray], fold: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own: list[np.ndarray] = []
+            for batch in batches:
+                if batch.num_rows:
+                    own = [fold(np.concatenate([*own, step(features_of(batch["features"]))]))]
+            if own:
+                yield pa.record_batch([pa.array([pickle.dumps(own[0])], pa.binary())], ["own"])
+
+        got = [pickle.loads(r.own) for r in rows.mapInArrow(run, "own binary").collect()]
+        return fold(np.concatenate(got)) if got else None
+
+    return Topics.learn(passes)
+
+
+def topics_of(told: DataFrame, topics: Topics) -> DataFrame:
+    """(source, lang, tokens, topic) of what described() gives."""
+    schema = T.StructType([*told.schema.fields[:3], T.StructField("topic", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = topics.names(batch["tokens"].to_numpy(), features_of(batch["features"]))
+            yield pa.record_batch([batch["source"], batch["lang"], batch["tokens"], pa.array(own, pa.string())], schema.names)
 
-    got = chosen.mapInArrow(run, "doc_id long, features binary").orderBy("doc_id", "features").limit(2 * sample).toArrow()
-    return Topics.fit(rows_of(got["features"], np.float64, len(KINDS) + 3))
+    return told.mapInArrow(run, schema)
 
 
 def with_topic(docs: DataFrame, carry: list[str], topics: Topics | None, given: str | None) -> DataFrame:
@@ -308,9 +396,12 @@ def assigned(
 ) -> DataFrame:
     """carried columns with n_tokens, topic, probability, weight and sampled. Two passes over the texts, and no shuffle of them up to DRIVER_CELLS cells."""
     carry = list(carry or docs.columns)
-    topics = learn_topics(docs) if topic is None else None
-    narrow = with_topic(docs.select("source", "lang", "text", *([topic] if topic else [])), ["source", "lang"], topics, topic)
+    told = materialize(described(docs), "mixing-features") if topic is None else None
+    topics = learn_topics(told) if topic is None else None
+    narrow = topics_of(told, topics) if topic is None else with_topic(docs.select("source", "lang", "text", topic), ["source", "lang"], None, topic)
     narrow = materialize(narrow.groupBy("source", "lang", narrow.columns[-1]).agg(F.sum(narrow.columns[-2]).alias("tokens")).toDF("source", "lang", "__topic", "tokens"), "mixing-cells")
+    if told is not None:
+        drop_table(told)
     own: dict[str, list[str] | None] = {"source": None, "lang": None}
     if levels is not None:
         largest = lambda c: [r[0] for r in narrow.where(F.col(c).isNotNull()).groupBy(c).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), c).limit(levels).collect()]

@@ -53,6 +53,50 @@ def test_topics_are_kinds_of_text():
     assert op.Topics.fit(x[:0]).of(pa.array(["a b"]))[1] == ["none"] and op.Topics.fit(x[:1]).of(pa.array(["a b"]))[1] == ["topic0"]
 
 
+def plain_means(texts, k):
+    """k-means over all texts with words, until no text changes its center: the number of texts of each, largest first, and the text's."""
+    n, x = op.features(pa.array(texts))
+    x = x[n > 0].astype(float)
+    z = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+    far = lambda: np.min([((z - c) ** 2).sum(axis=1) for c in centers], axis=0)
+    centers = [z[(z**2).sum(axis=1).argmin()]]
+    while len(centers) < k and far().max() > 1e-12:
+        centers.append(z[far().argmax()])
+    own = None
+    while own is None or (own != new).any():
+        own = np.argmin([((z - c) ** 2).sum(axis=1) for c in centers], axis=0) if own is None else new
+        centers = [z[own == c].mean(axis=0) for c in range(len(centers))]
+        new = np.argmin([((z - c) ** 2).sum(axis=1) for c in centers], axis=0)
+    size = np.bincount(own, minlength=len(centers))
+    place = np.argsort(np.argsort(-size, kind="stable"))
+    told = iter(place[own])
+    return [f"topic{next(told)}" if w else "none" for w in n]
+
+
+def many_kinds(rows=12_000):
+    """More documents than a sample would hold, of kinds that run into one another, and a few that stand apart."""
+    r = random.Random(8)
+    kinds = [*KINDS_OF_TEXT.values()]
+    texts = [r.choice(kinds)(r)[: r.randrange(5, 400)] + "." * r.randrange(9) for _ in range(rows)]
+    return [*texts, *(("|" * (20 + k) + " a ") * 9 for k in range(3)), "", "!?"]
+
+
+def test_topics_come_from_all_documents(docs_of):
+    texts = many_kinds()
+    df = docs_of(list(enumerate(texts)))
+    want = plain_means(texts, op.TOPICS)
+    for parts in (1, 7):  # however they are dealt out
+        got = {r.doc_id: r.topic for r in op.report(df.repartition(parts)).collect()}
+        assert [got[k] for k in range(len(texts))] == want
+
+
+def test_sums_of_features_are_exact():
+    x = np.tile(np.array([[1 << 21] * op.WIDTH, [(1 << 21) - 1] * op.WIDTH]), (40_000, 1))
+    n, *sums = op.moments(x)[0].tolist()
+    assert (n, sums[0]) == (80_000, 40_000 * ((1 << 22) - 1))
+    assert (sums[op.WIDTH] << 21) + sums[2 * op.WIDTH] == 40_000 * ((1 << 42) + ((1 << 21) - 1) ** 2)
+
+
 def test_targets_that_cannot_be_met():
     weights = np.array([[1.0, 0], [0, 1]])
     with pytest.raises(ValueError, match="off by"):
