@@ -4,6 +4,7 @@ import corpus_pipeline as pipeline
 from plandag.llm import decontamination, exact_dedup, mixing, near_duplicates, quality
 from tests.conftest import TESTDATA
 from tests.llm.test_exact_dedup import norm
+from tests.llm.test_mixing import many_kinds, plain_means
 from tests.llm.test_near_duplicates import brute
 
 
@@ -46,6 +47,14 @@ def test_run_is_the_stages(stages, spark):
     assert sorted(r.doc_id for r in pipeline.run(spark, TESTDATA).collect()) == sorted(r.doc_id for r in stages[-1][1])
 
 
+def test_topics_of_the_mix_come_from_all_documents(docs_of, spark):
+    texts = many_kinds()
+    docs = docs_of(list(enumerate(texts)))
+    want = plain_means(texts, mixing.TOPICS)
+    mixed = dict(pipeline.STAGES)["mixing"](spark, docs, TESTDATA).collect()
+    assert len(mixed) > 1000 and all(r.topic == want[r.doc_id] for r in mixed)
+
+
 @pytest.mark.parametrize("step", [exact_dedup.drop_copies, near_duplicates.keep_one, mixing.sample])
 def test_empty(docs_of, step):
     assert step(docs_of([])).collect() == []
