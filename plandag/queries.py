@@ -369,11 +369,11 @@ def placement_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as files, the suppliers of their nation as nodes; large accounts have one replica."""
     cat = Catalog(spark, sf_dir)
     customer, supplier = cat.table("customer"), cat.table("supplier")
-    near = customer.join(supplier, customer["c_nationkey"] == supplier["s_nationkey"])
     large = F.col("c_acctbal") > 9000
-    one = near.where(large).groupBy(F.col("c_custkey").alias("file")).agg(F.min("s_suppkey").alias("node"))
-    replicas = near.where(~large).select(F.col("c_custkey").alias("file"), F.col("s_suppkey").alias("node")).unionByName(one)
-    return best_replicas(replicas, supplier.select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("score")))
+    nodes = supplier.select(F.col("s_nationkey").alias("group"), F.col("s_suppkey").alias("node"))
+    files = customer.select(F.col("c_custkey").alias("file"), F.col("c_nationkey").alias("group"), large.alias("large"))
+    one = files.where("large").join(nodes.groupBy("group").agg(F.min("node").alias("node")), "group").groupBy("file").agg(F.min("node").alias("node"))
+    return best_replicas(one, supplier.select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("score")), (files.where("not large"), nodes))
 
 
 PLACEMENT_SQL = """

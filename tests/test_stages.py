@@ -233,3 +233,53 @@ def test_placement(spark):
     metrics = spark.createDataFrame([("a", 9.0), ("b", 4.0), ("c", 4.0)], "node string, score double")
     got = {r.file: (r.node, r.score) for r in best_replicas(replicas, metrics).collect()}
     assert got == {"f1": ("a", 9.0), "f2": ("a", 9.0), "f3": ("b", 4.0), "f4": ("b", 4.0), "f5": ("d", 0.0)}
+
+
+def odd_tables(spark, tmp_path, customers, suppliers):
+    import duckdb
+
+    from plandag import queries
+
+    spark.createDataFrame(customers, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey bigint, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    return queries.queries(), queries.oracle_sql(), con
+
+
+def test_placement_of_odd_rows_is_as_in_sql(spark, tmp_path):
+    """NULL and repeated keys, files in several nations, nations with one supplier or none, ties, negative and missing scores."""
+    import random
+
+    from tests.oracle import compare
+
+    draw = random.Random(5)
+    pick = lambda *of: draw.choice(of)
+    customers = [(pick(None, *range(400)), "", pick(None, *range(14)), pick(None, float("nan"), 9000.0, 9500.0, 9900.0, -5.0, 10.0)) for _ in range(600)]
+    suppliers = [(pick(None, *range(30)), pick(None, *range(6)), pick(None, float("nan"), 0.0, -8.0, -8.0, 40.0, 60.0, 90.0)) for _ in range(40)]
+    suppliers += [(50 + n % 3, n, 90.0 - n) for n in range(6, 12)] + [(None, 12, 5.0)]
+    found, sql, con = odd_tables(spark, tmp_path, customers, suppliers)
+    compare(found["placement_ranking"](spark, str(tmp_path)), con, sql["placement_ranking"])
+
+
+def test_placement_makes_no_pairs(spark, tmp_path):
+    from tests.oracle import compare
+
+    found, sql, con = odd_tables(spark, tmp_path, [(n, "", n % 2, 10.0 * n) for n in range(1200)], [(n, n % 2, float(n % 97)) for n in range(1000)])
+    df = found["placement_ranking"](spark, str(tmp_path))
+    compare(df, con, sql["placement_ranking"])
+    assert max(join_rows(df)) <= 1200
+
+
+def join_rows(df):
+    """The rows that each join has made once df was collected."""
+
+    def walk(node):
+        if "Join" in (name := node.nodeName()):
+            yield node.metrics().apply("numOutputRows").value()
+        kids = [node.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [node.plan()] if "QueryStage" in name else []
+        for k in kids or map(node.children().apply, range(node.children().size())):
+            yield from walk(k)
+
+    return list(walk(df._jdf.queryExecution().executedPlan()))
