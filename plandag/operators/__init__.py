@@ -19,6 +19,10 @@ def run_stage(stage: Stage, inputs: list[DataFrame]) -> DataFrame:
         df = filter_rows(frames[0], stage.where)
     elif kind == "INDEX_TABLE_SCAN":
         df = filter_rows(joins.join(*frames, stage.on, "left_semi"), stage.where)
+    elif kind in joins.HOW and stage.spread:
+        left_name = stage.inputs[0].rpartition(":")[2]
+        own = lambda name: name.startswith(f"{left_name}.") or ("." not in name and name in frames[0].columns)
+        df = filter_rows(joins.spread_join(*frames, stage.on, joins.HOW[kind], own), stage.where)
     elif kind in joins.HOW:
         df = filter_rows(joins.join(*frames, stage.on, joins.HOW[kind]), stage.where)
     elif kind == "UNION":

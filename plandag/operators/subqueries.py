@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plandag.functions.expr import compile_expr
-from plandag.functions.predicate import COMPARE, Pred, compile_predicates, equal_pairs
+from plandag.functions.predicate import COMPARE, Pred, column_names, compile_predicates, equal_pairs
 from plandag.plans.stage import Proj
 
 
@@ -64,7 +64,7 @@ def sides(on: object, own: Callable[[str], bool]) -> tuple[list, list[tuple[obje
             continue
         if not isinstance(item, Pred):
             return None
-        of = [{own(n) for n in _names(x)} for x in (item.lv, item.rv)]
+        of = [{own(n) for n in column_names(x)} for x in (item.lv, item.rv)]
         if of[0] | of[1] == {True}:
             alone.append(item)
         elif item.op in FLIPPED and of in ([{False}, {True}], [{True}, {False}]):
@@ -126,21 +126,11 @@ def scalar_compare(left: DataFrame, right: DataFrame, compare: tuple[object, str
         got = F.coalesce(F.col("__scalar"), F.lit(0)) if scalar.how.startswith("COUNT") else F.col("__scalar")
         out = left.join(sub, cond, "left" if scalar.how.startswith("COUNT") else "inner").where(COMPARE[op](compile_expr(value), got))
         return out.drop("__scalar", *[f"__k{k}" for k in range(len(pairs))])
-    outer = {name: F.col(name).outer() for name in _names(on) if not own(name)}
+    outer = {name: F.col(name).outer() for name in column_names(on) if not own(name)}
     sub = right.where(compile_predicates(_outer(on, outer))).select(expr.alias("__scalar"))  # agg() would resolve the outer columns too early
     return left.where(COMPARE[op](compile_expr(value), sub.scalar()))
 
 
-def _names(on: object) -> set[str]:
-    if isinstance(on, str):
-        return set() if on.upper() in ("AND", "OR", "NOT", "(", ")") else {on}
-    if getattr(on, "kind", None) is not None:
-        return {on.value} if on.kind == "COLUMN" else set()
-    if hasattr(on, "lv"):
-        return _names(on.lv) | _names(on.rv)
-    return set().union(*map(_names, on)) if isinstance(on, (list, tuple)) else set()
-
-
 def _outer(on: object, outer: dict[str, Column]) -> object:
     """The same condition, with the columns of the outer query marked."""
     if isinstance(on, str):

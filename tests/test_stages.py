@@ -272,6 +272,32 @@ def test_placement_makes_no_pairs(spark, tmp_path):
     assert max(join_rows(df)) <= 1200
 
 
+NAN = float("nan")
+MANY = [(n, "", n % 3, 37.0 * (n % 270)) for n in range(3000)], [(n, n % 3, 91.0 * (n % 110)) for n in range(900)]
+ODD = [(n % 50, "", (None, 0, 1, 7)[n % 4], (None, NAN, 9500.0, 9501.0, 9999.0)[n % 5]) for n in range(200)], [(n % 30, (None, 0, 1, 8)[n % 4], (None, NAN, 9000.0, 9001.0, 5.0)[n % 5]) for n in range(90)]
+
+
+@pytest.mark.parametrize("name", ["join_theta"])
+@pytest.mark.parametrize("tables", [MANY, ODD, (ODD[0], []), ([], ODD[1])], ids=["many", "odd", "no suppliers", "no customers"])
+def test_spread_joins(spark, tmp_path, name, tables):
+    """As in SQL, and no task makes much more than its share where a few keys, or none, make nearly all rows."""
+    from pyspark.sql import functions as F
+
+    from tests.oracle import compare
+
+    found, sql, con = odd_tables(spark, tmp_path, *tables)
+    df = found[name](spark, str(tmp_path))
+    compare(df, con, sql[name])
+    by_task = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert tables is not MANY or max(by_task) <= 0.1 * sum(by_task)
+
+
+def test_only_some_joins_are_spread(cat):
+    for kind, on in (("FULL_OUTER_JOIN", Pred("a.k", "EQ", "b.k")), ("INNER_JOIN", None), ("IN", Pred("a.k", "EQ", "b.k"))):
+        with pytest.raises(StageError):
+            Pipeline(cat).run([Stage(kind, ("a", "b"), "o", on=on, compare=("a.k", "EQ"), project=(Proj("k", "a.k"),), spread=True)])
+
+
 def join_rows(df):
     """The rows that each join has made once df was collected."""
 
