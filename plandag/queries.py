@@ -111,7 +111,7 @@ PLANS: dict[str, tuple[list[Stage], str]] = {
     ),
     "agg_count_col": (
         [
-            Stage("LEFT_OUTER_JOIN", ("supplier", "customer"), "both", on=[Pred("s_nationkey", "EQ", "c_nationkey"), "AND", Pred("c_acctbal", "GT", i(9000))], project=cols("s_nationkey", "c_custkey")),
+            Stage("LEFT_OUTER_JOIN", ("supplier", "customer"), "both", on=[Pred("s_nationkey", "EQ", "c_nationkey"), "AND", Pred("c_acctbal", "GT", i(9000))], project=cols("s_nationkey", "c_custkey"), spread=True),
             Stage("AGGREGATION", ("both",), "out", group_by=("s_nationkey",), project=(*cols("s_nationkey"), Proj("n", "c_custkey", "COUNT"))),
         ],
         "SELECT s.s_nationkey, COUNT(c.c_custkey) AS n FROM supplier s LEFT JOIN customer c ON s.s_nationkey = c.c_nationkey AND c.c_acctbal > 9000 GROUP BY s.s_nationkey",
@@ -172,11 +172,11 @@ PLANS: dict[str, tuple[list[Stage], str]] = {
         "SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON a.s_acctbal < b.s_acctbal",
     ),
     "join_left": (
-        [Stage("LEFT_OUTER_JOIN", ("supplier", "customer"), "out", on=[Pred("s_nationkey", "EQ", "c_nationkey"), "AND", Pred("c_acctbal", "GT", i(9500))], project=cols("s_suppkey", "c_custkey"))],
+        [Stage("LEFT_OUTER_JOIN", ("supplier", "customer"), "out", on=[Pred("s_nationkey", "EQ", "c_nationkey"), "AND", Pred("c_acctbal", "GT", i(9500))], project=cols("s_suppkey", "c_custkey"), spread=True)],
         "SELECT s.s_suppkey, c.c_custkey FROM supplier s LEFT JOIN customer c ON s.s_nationkey = c.c_nationkey AND c.c_acctbal > 9500",
     ),
     "join_right": (
-        [Stage("RIGHT_OUTER_JOIN", ("supplier", "customer"), "out", on=[Pred("s_nationkey", "EQ", "c_nationkey"), "AND", Pred("s_acctbal", "GT", i(9000))], project=cols("s_suppkey", "c_custkey"))],
+        [Stage("RIGHT_OUTER_JOIN", ("supplier", "customer"), "out", on=[Pred("s_nationkey", "EQ", "c_nationkey"), "AND", Pred("s_acctbal", "GT", i(9000))], project=cols("s_suppkey", "c_custkey"), spread=True)],
         "SELECT s.s_suppkey, c.c_custkey FROM supplier s RIGHT JOIN customer c ON s.s_nationkey = c.c_nationkey AND s.s_acctbal > 9000",
     ),
     "join_cross": (

@@ -277,7 +277,7 @@ MANY = [(n, "", n % 3, 37.0 * (n % 270)) for n in range(3000)], [(n, n % 3, 91.0
 ODD = [(n % 50, "", (None, 0, 1, 7)[n % 4], (None, NAN, 9500.0, 9501.0, 9999.0)[n % 5]) for n in range(200)], [(n % 30, (None, 0, 1, 8)[n % 4], (None, NAN, 9000.0, 9001.0, 5.0)[n % 5]) for n in range(90)]
 
 
-@pytest.mark.parametrize("name", ["join_theta"])
+@pytest.mark.parametrize("name", ["join_theta", "join_left", "join_right"])
 @pytest.mark.parametrize("tables", [MANY, ODD, (ODD[0], []), ([], ODD[1])], ids=["many", "odd", "no suppliers", "no customers"])
 def test_spread_joins(spark, tmp_path, name, tables):
     """As in SQL, and no task makes much more than its share where a few keys, or none, make nearly all rows."""
